@@ -1,8 +1,8 @@
 """URL filters: logistic regression on hashed character n-grams of host and path, with rules that come first. DataFrame functions only.
 
 A URL's host and path, each between marks, give their character n-grams; each n-gram, with the part it is from, is hashed into one of
-BUCKETS. The model is trained from a small labelled table by full-batch gradient steps: each step is one aggregation by bucket
-of the labelled rows' errors. The weights then stand in the plan as one array literal, and a row's score is a sum over its n-grams.
+BUCKETS. The model is trained once from a small labelled table, whose rows get their buckets by the same expressions. The weights then
+stand in the plan as one array literal, and a row's score is a sum over its n-grams.
 
 Rules are (verdict, host and path). A rule fits its host and all subdomains of it, if the path begins with the rule's; the longest wins.
 
@@ -12,6 +12,8 @@ empty parts; repeated rows give repeated rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,6 @@ def label() -> list[tuple[str, int]]:
 
 
 
-
 def parts(urls: DataFrame) -> DataFrame:
     """Adds host and path to a table with a column url."""
     rest = F.expr("CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END")
@@ -72,14 +73,17 @@ def rule_of(rules: tuple[tuple[str, str], ...], host: Column, path: Column) -> t
 def buckets(host: Column, path: Column) -> Column:
     """The buckets of all n-grams of both parts, repeated as they repeat."""
     found = []
-    for mark, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$")))):
+    for mark, part in (("h", host), ("p", path)):
+        text = F.concat(F.lit("^"), part, F.lit("$"))
         for n in SIZES:
-            last = F.length(text) - (n - 1)
-            grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n, text=text: text.substr(i, F.lit(n)))
-            found.append(F.transform(grams, lambda g, mark=mark: F.pmod(F.xxhash64(F.lit(mark), g), F.lit(BUCKETS)).cast("int")))
+            found.append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), _bucket(mark, text, n)))
     return F.concat(*found)
 
 
+def _bucket(mark: str, text: Column, n: int):
+    return lambda i: F.pmod(F.xxhash64(F.lit(mark), text.substr(i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+
+
 def _score(weights: list[float], bias: float, cells: Column) -> Column:
     """The probability of label 1; the mean weight of the n-grams, scaled by the root of their number."""
     table = F.from_json(F.lit("[" + ",".join(map(repr, weights)) + "]"), "array<double>")  # folded to one literal
@@ -88,22 +92,24 @@ def _score(weights: list[float], bias: float, cells: Column) -> Column:
 
 
 def train(spark: SparkSession, table: list[tuple[str, int]], steps: int = STEPS, rate: float = 3.0, decay: float = 0.002) -> tuple[list[float], float]:
-    """(weights by bucket, bias) from the small labelled table; at most BUCKETS sums come back for each step."""
+    """(weights by bucket, bias) by full-batch gradient steps with momentum. The labelled table is small and fixed, so its rows' buckets come to the driver."""
     values = ", ".join(f"('{url}', {klass})" for url, klass in table)
-    rows = parts(spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")).select("label", buckets(F.col("host"), F.col("path")).alias("cells")).collect()
-    known = spark.createDataFrame([], "label int, cells array<int>") if not rows else spark.sql("SELECT label, cells FROM VALUES " + ", ".join(f"({r['label']}, array({','.join(map(str, r['cells']))}))" for r in rows) + " AS t(label, cells)")
-    weights, bias, speed, count = [0.0] * BUCKETS, 0.0, [0.0] * (BUCKETS + 1), max(1, len(table))
+    source = spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)") if table else spark.sql("SELECT '' AS url, 0 AS label WHERE false")
+    known = parts(source).orderBy("url").select("label", buckets(F.col("host"), F.col("path")).alias("cells")).collect()
+    weights, bias, speed = [0.0] * BUCKETS, 0.0, [0.0] * (BUCKETS + 1)
     for _ in range(steps):
-        error = known.withColumn("e", F.col("label") - _score(weights, bias, F.col("cells")))
-        cells = error.select((F.col("e") / F.sqrt(F.size("cells").cast("double"))).alias("e"), F.explode("cells").alias("b"))
-        sums = cells.groupBy("b").agg(F.sum("e").alias("g")).union(error.select(F.lit(BUCKETS).alias("b"), "e").groupBy("b").agg(F.sum("e"))).collect()
-        for b, g in sums:
-            old = bias if b == BUCKETS else weights[b]
-            speed[b] = 0.8 * speed[b] + g / count - (0 if b == BUCKETS else decay * old)
-            if b == BUCKETS:
-                bias += rate * speed[b]
-            else:
-                weights[b] += rate * speed[b]
+        grad = [0.0] * (BUCKETS + 1)
+        for y, cells in known:
+            scale = len(cells) ** 0.5
+            error = y - 1 / (1 + math.exp(-(bias + sum(weights[b] for b in cells) / scale)))
+            grad[BUCKETS] += error
+            for b in cells:
+                grad[b] += error / scale
+        for b in range(BUCKETS):
+            speed[b] = 0.8 * speed[b] + grad[b] / max(1, len(known)) - decay * weights[b]
+            weights[b] += rate * speed[b]
+        speed[BUCKETS] = 0.8 * speed[BUCKETS] + (grad[BUCKETS] / len(known) if known else 0)
+        bias += rate * speed[BUCKETS]
     return [round(w, 9) for w in weights], round(bias, 9)
 
 
