@@ -7,8 +7,8 @@ event. A text's score is a logistic function of the weights of its matched claus
 clause makes of it.
 
 Insult words are learned: beginnings of words (of 4 letters and more) and whole words that toxic documents of the training sample hold far
-more often than others, each with its log-odds as the arc's weight. Copies of one text count once in this. The weights of the events come
-from a logistic regression; the two halves of the sample take turns, one giving the words, the other the events.
+more often than others, each with its log-odds, less their uncertainty, as the arc's weight. Copies of one text count once in this. The weights of the events come
+from a logistic regression on features that each FOLDS-th of the sample gets from the words of the rest.
 
 The sample is bounded: at most SAMPLE labelled rows of either label, those whose hashed doc_id is least. Everything else goes over all rows.
 
@@ -36,6 +36,7 @@ SAMPLE = 4000
 #: Beginnings and words that the grammar may learn at most, the weightiest first; what is learned, not what is scored.
 LEXICON = 20_000
 SHORTEST, LONGEST = 4, 10
+FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
 _STOP = frozenset(".!?;:\n")
 
@@ -183,18 +184,17 @@ def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return begins, T.hashes(buf, begins, ends)
 
 
-def lexicon(counts: list[tuple[str, float, float]], toxic: float, clean: float, least: float = 2.5) -> dict[str, float]:
-    """Log-odds of the stems that few clean and enough toxic documents hold."""
+def lexicon(counts: list[tuple[str, float, float]], toxic: float, clean: float, doubt: float = 2.0, least: float = 1.0) -> dict[str, float]:
+    """The stems whose log-odds stay high when `doubt` standard errors are taken off; that is their weight."""
     out = {}
     for stem, t, c in counts:
-        if t >= least:
-            odds = np.log((t + 0.3) / (toxic + 1)) - np.log((c + 0.3) / (clean + 1))
-            if odds > 2.0:
-                out[stem] = float(odds)
+        odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) - doubt * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if odds > least:
+            out[stem] = float(odds)
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 60) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 60) -> tuple[np.ndarray, float]:
     """Newton steps with a penalty on all weights but the bias."""
     z = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(z.shape[1])
@@ -226,36 +226,40 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     grouped = rows.mapInArrow(_grouped, "doc_id long, text string, toxic int, grp long")
     grouped = scratch.save(grouped.repartition(max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)), "grouped")
     share = grouped.groupBy("grp").agg(F.count("*").alias("copies"))
-    # the half is the group's, so copies don't teach on both sides
-    weighed = scratch.save(grouped.join(share, "grp").select("doc_id", "text", "toxic", (1 / F.col("copies")).alias("w"), F.pmod(F.xxhash64("grp"), F.lit(2)).alias("half")), "weighed")
-    sums = weighed.groupBy("half", "toxic").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
+    # the fold is the group's, so copies don't teach on both sides
+    weighed = scratch.save(grouped.join(share, "grp").select("doc_id", "text", "toxic", (1 / F.col("copies")).alias("w"), F.pmod(F.xxhash64("grp"), F.lit(FOLDS)).cast("int").alias("fold")), "weighed")
+    sums = weighed.groupBy("fold", "toxic").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
     if {s["toxic"] for s in sums} != {0, 1}:
         n = sum(s["n"] for s in sums)
         ones = sum(s["n"] for s in sums if s["toxic"] == 1)
         p = (ones + 1) / (n + 2) if n else 0.5
         return Model(bias=float(np.log(p / (1 - p))))
-    counted = weighed.mapInArrow(_counted, "half int, stem string, t double, c double").groupBy("half", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counted = scratch.save(counted.groupBy("stem").pivot("half", [0, 1]).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).na.fill(0.0), "stems")
-    total = {(s["half"], s["toxic"]): s["w"] for s in sums}
-    of = lambda half, klass: sum(v for (h, k), v in total.items() if k == klass and (half is None or h == half))
-    stems = {}
-    for half in (0, 1, None):
-        t, c = (F.col("0_t") + F.col("1_t"), F.col("0_c") + F.col("1_c")) if half is None else (F.col(f"{half}_t"), F.col(f"{half}_c"))
-        strong = counted.select("stem", t.alias("t"), c.alias("c")).where("t >= 2.5").orderBy(F.desc((F.col("t") + 0.3) / (F.col("c") + 0.3)), "stem").limit(LEXICON)
-        stems[half] = lexicon([tuple(r) for r in strong.collect()], of(half, 1), of(half, 0))
-    pairs = {0: stems[1], 1: stems[0]}
+    counted = weighed.mapInArrow(_counted, "fold int, stem string, t double, c double")
+    per = [F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0.0)).alias(f"{x}{f}") for f in range(FOLDS) for x in "tc"]
+    counted = counted.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), *per)
+    doubt = 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    strong = counted.where("t >= 1.9").orderBy(F.desc(F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - doubt), "stem").limit(LEXICON).collect()
+    total = {(s["fold"], s["toxic"]): s["w"] for s in sums}
+
+    def learned(without: int | None) -> dict[str, float]:
+        """The lexicon of all folds, or of all but one."""
+        rest = lambda r, x: r[x] - (0.0 if without is None else r[f"{x}{without}"])
+        of = lambda klass: sum(v for (f, k), v in total.items() if k == klass and f != without)
+        return lexicon([(r["stem"], rest(r, "t"), rest(r, "c")) for r in strong], of(1), of(0))
+
+    stems, pairs = learned(None), [learned(f) for f in range(FOLDS)]
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = {h: Scorer(s) for h, s in pairs.items()}
+        scorers = [Scorer(p) for p in pairs]
         for batch in batches:
             d = batch.to_pydict()
-            x = [scorers[h].features(t).tolist() for h, t in zip(d["half"], d["text"], strict=True)]
+            x = [scorers[h].features(t).tolist() for h, t in zip(d["fold"], d["text"], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d["toxic"], pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    found = weighed.select("half", "text", "toxic").mapInArrow(featured, "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    found = weighed.select("fold", "text", "toxic").mapInArrow(featured, "toxic int, x array<double>").orderBy("toxic", "x").collect()
     x, y = np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float)
     w, bias = logistic(x, y)
-    return Model(stems[None], np.maximum(w, 0.0), bias)
+    return Model(stems, np.maximum(w, 0.0), bias)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +270,16 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d = batch.to_pydict()
-        sums = {(h, k): Counter() for h in (0, 1) for k in (0, 1)}
-        for text, toxic, w, half in zip(d["text"], d["toxic"], d["w"], d["half"], strict=True):
-            c = sums[half, toxic]
+        sums = {(f, k): Counter() for f in range(FOLDS) for k in (0, 1)}
+        for text, toxic, w, fold in zip(d["text"], d["toxic"], d["w"], d["fold"], strict=True):
+            c = sums[fold, toxic]
             for s in stems_of(text):
                 c[s] += w
-        for half in (0, 1):
-            t, c = sums[half, 1], sums[half, 0]
+        for fold in range(FOLDS):
+            t, c = sums[fold, 1], sums[fold, 0]
             # a stem that no toxic document of the batch has still counts as clean
             names = sorted(set(t) | set(c))
-            yield pa.RecordBatch.from_arrays([pa.array([half] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array([t[s] for s in names], pa.float64()), pa.array([c[s] for s in names], pa.float64())], ["half", "stem", "t", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([fold] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array([t[s] for s in names], pa.float64()), pa.array([c[s] for s in names], pa.float64())], ["fold", "stem", "t", "c"])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
