@@ -64,6 +64,18 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within this, what is run sends at most so many rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def input_partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Shuffle partitions for an operator that moves about as much as df holds: the session's number, or more where the estimated size asks for it."""
     spark = df.sparkSession
