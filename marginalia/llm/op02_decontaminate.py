@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all bytes above 127. The n-grams of the test items are counted over
-all documents; each item keeps as seeds those that few documents hold, and at least its rarer half, so an item that leaked into a great
-many documents keeps enough. A document with a seed is aligned with the item around it, word by word: a match scores 1, a mismatch or a
+all documents; each item keeps as seeds those that few documents hold beside the copies of the item, and at least its rarer half, so an
+item that leaked into a great many documents keeps its seeds too. A document with a seed is aligned with the item around it, word by word: a match scores 1, a mismatch or a
 gap -1. A document counts as contaminated where the best local alignment scores at least `similar` of the item's words. So copies
 with words put in, left out or replaced are found as well as exact ones, and documents that only share a phrase are not.
 
@@ -36,8 +36,9 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 @dataclass(frozen=True)
 class Rules:
     seed_words: int = 3
-    #: an n-gram is rare if at most this share of the documents hold it
+    #: an n-gram is rare if at most this share of the documents hold it, or at most this number, beyond what the item's own copies explain
     rare: float = 0.0005
+    few: int = 100
     similar: float = 0.5
     #: an alignment of fewer words counts only if it is all of the item
     least_words: int = 8
@@ -110,7 +111,8 @@ class Items:
         of = self.item[order]
         rank = np.arange(len(of)) - np.searchsorted(of, of)
         size = np.bincount(of, minlength=len(self.words))[of] if len(of) else of
-        keep = order[(2 * rank < size + 1) | (df[order] <= self.rules.rare * documents)]
+        own = df[order][np.searchsorted(of, of) + size // 4] if len(of) else df  # copies of an item bring all of its n-grams
+        keep = order[(2 * rank < size + 1) | (df[order] <= 4 * own + max(self.rules.few, self.rules.rare * documents))]
         self.set(self.key[keep], self.item[keep], self.offset[keep])
 
     def hits(self, first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ class Items:
         order = np.lexsort((begin, text, item))
         item, text, begin = item[order], text[order], begin[order]
         edges = np.flatnonzero(np.diff(item, prepend=-1))
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(item)], strict=True):
+        for lo, hi in zip(edges.tolist(), np.append(edges[1:], len(item)).tolist(), strict=False):
             self._align(int(item[lo]), text[lo:hi], begin[lo:hi], h, cuts, out)
         return [(t, i, *x) for (t, i), x in sorted(out.items())]
 
