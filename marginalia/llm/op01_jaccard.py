@@ -2,8 +2,9 @@
 
 A document's set holds its distinct word shingles. Two documents link when den * |A and B| >= num * |A or B|.
 
-1. Points. Shingles are hashed into groups. The counts of DIMS groups make a document's point; the overlap of two sets is at most
-   the sum over coordinates of the smaller count.
+1. Points. Shingles are hashed into groups. The counts of the groups make a document's point; the overlap of two sets is at most
+   the sum over coordinates of the smaller count. A point has about as many groups as its set has shingles (a power of two), which
+   keeps the bound tight at every size; folding halves brings two points to the same groups.
 2. Blocks, without cross joins and without loss. Two linked sets differ in at most k shingles, k following from the size band, so of
    k + 1 + e groups at least 1 + e hold exactly the same shingles in both. A document offers a signature for each of its groups that
    isn't empty; documents that share one are candidates. (A document with more than e empty groups also offers those, so the bound
@@ -31,10 +32,13 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
 from marginalia.llm.graph import components
-from marginalia.session import Scratch, input_partitions, ship
+from marginalia.session import Scratch, input_partitions, ship, small_batches
 
-DIMS = 64
+#: Groups of a point: the power of two from a set's size on, within these.
+LEAST_GROUPS, MOST_GROUPS = 64, 1 << 16
 TILE = 512
+#: Rows in Python at once.
+BATCH = 2000
 #: Ids that may be broadcast to filter the documents read again: 8 bytes each; more go by a shuffled semi-join.
 BROADCAST_IDS = 500_000
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -61,6 +65,19 @@ def shingles(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndar
     return docs[new], keys[new]
 
 
+def point(keys: np.ndarray) -> bytes:
+    """The counts of a set's groups, two bytes each."""
+    groups = min(max(LEAST_GROUPS, 1 << max(0, len(keys) - 1).bit_length()), MOST_GROUPS)
+    counts = np.bincount((keys >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
+
+
+def folded(raw: bytes, groups: int) -> np.ndarray:
+    """The point with so many groups, at most its own number."""
+    p = np.frombuffer(raw, np.uint16)
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint32).clip(max=65_535).astype(np.uint16)
+
+
 class Bands:
     """Size bands [low, next low), and for each how many groups its signatures have."""
 
@@ -147,7 +164,7 @@ def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets
         ids = np.asarray(batch.column(0).to_pylist(), np.int64) if batch.num_rows else np.empty(0, np.int64)
         texts = T.blobs(batch.column(1))
         sigs, owners = [], []
-        for i, j in T.chunks(texts):
+        for i, j in T.chunks(texts, T.CHUNK // 2):
             docs, keys = shingles(texts[i:j], width)
             m = j - i
             n = np.bincount(docs, minlength=m).astype(np.int64)
@@ -156,12 +173,9 @@ def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets
                 hi = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(keys))])
                 lo = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(keys ^ np.uint64(0xE7037ED1A0B428DB)))])
                 hi, lo = T.mix(hi[begin[1:]] - hi[begin[:-1]]), T.mix(lo[begin[1:]] - lo[begin[:-1]])
-            point = np.zeros((m, DIMS), np.uint16)
-            cells = np.bincount(docs * DIMS + (keys >> np.uint64(40)).astype(np.int64) % DIMS, minlength=m * DIMS)
-            point[:] = np.minimum(cells, 65535).reshape(m, DIMS)
-            raw = point.tobytes()
+            points = [point(keys[begin[k] : begin[k + 1]]) for k in range(m)]
             own = ids[i:j]
-            yield _batch(DOC, m, bucket=own % buckets, a=own, n=n, hi=hi.view(np.int64), lo=lo.view(np.int64), data=[raw[k * DIMS * 2 : (k + 1) * DIMS * 2] for k in range(m)])
+            yield _batch(DOC, m, bucket=own % buckets, a=own, n=n, hi=hi.view(np.int64), lo=lo.view(np.int64), data=points)
             # of equal sets in the chunk, one offers signatures; classes of equal sets come from hi and lo
             key = np.stack([hi, lo, n.astype(np.uint64)], 1)
             _, one = np.unique(key[np.argsort(own, kind="stable")], axis=0, return_index=True)
@@ -223,7 +237,7 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 16):
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
-        self.fan, self.levels = fan, [(points[self.order].astype(np.int32), sizes[self.order], sizes[self.order])]
+        self.fan, self.levels = fan, [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][1]) > 1:
             p, low, high = self.levels[-1]
             cut = np.arange(0, len(low), fan)
@@ -235,7 +249,7 @@ class RTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             p, low, high = self.levels[depth]
             low, high = low[at], high[at]
-            bound = np.minimum(np.minimum(p[at], point).sum(1), np.minimum(high, size))
+            bound = np.minimum(np.minimum(p[at], point).sum(1, dtype=np.int64), np.minimum(high, size))
             # den * overlap >= num * (size + other - overlap), the other as small as the node allows
             at = at[((den + num) * bound >= num * (size + low)) & (low * num <= den * size) & (high * den >= num * size)]
             if depth:
@@ -251,10 +265,11 @@ def _tile(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     right = left if within else right
     out: list[tuple[int, int]] = []
     if len(left) and len(right):
-        unpack = lambda x: np.frombuffer(b"".join(x), np.uint16).reshape(-1, DIMS)
+        groups = min(len(x) for x in pdf["data"]) // 2
+        unpack = lambda rows: np.stack([folded(x, groups) for x in rows])
         tree = RTree(unpack(right["data"]), right["n"].to_numpy())
         rid, rclass = right["id"].to_numpy(), right["klass"].to_numpy()
-        for point, n, i, k in zip(unpack(left["data"]).astype(np.int32), left["n"].to_numpy(), left["id"].to_numpy(), left["klass"].to_numpy(), strict=True):
+        for point, n, i, k in zip(unpack(left["data"]), left["n"].to_numpy(), left["id"].to_numpy(), left["klass"].to_numpy(), strict=True):
             hit = tree.search(point, int(n), num, den)
             hit = hit[rclass[hit] != k]
             if within:
@@ -263,51 +278,77 @@ def _tile(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_id, keys): the sets of the documents with these ids, from their whole texts."""
-    ids = scratch.save(ids.distinct(), f"{name}-ids")
+#: Bytes of a shingle's hash that a set keeps while two sets are compared.
+KEY_BYTES = 6
+
+
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, keys): the sets of the documents with these ids, from their whole texts, as sorted packed hashes."""
     few = ids.count() <= BROADCAST_IDS  # 8 bytes each, so at most 4 MB
     some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = T.blobs(batch.column(1))
-            for i, j in T.chunks(texts):
+            for i, j in T.chunks(texts, T.CHUNK // 2):
                 owner, keys = shingles(texts[i:j], width)
-                cuts = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.view(np.int64)))], ["doc_id", "keys"])
+                cuts = np.searchsorted(owner, np.arange(j - i + 1))
+                raw = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+                packed = [raw[KEY_BYTES * a : KEY_BYTES * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["doc_id", "keys"])
 
-    return some.mapInArrow(build, "doc_id long, keys array<long>")
+    return some.mapInArrow(build, "doc_id long, keys binary")
+
+
+def _same(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b, keys of a, keys of b) whose sets are similar enough."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            union = len(np.unique(_widened(x + y)))
+            both = (len(x) + len(y)) // KEY_BYTES - union
+            keep.append(den * both >= num * union)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _widened(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return wide.view(np.uint64).ravel()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
+    """The pairs (a, b) that link, by their full sets. The side with fewer documents is sent to the pairs last, so each set crosses the network about once."""
     pairs = scratch.save(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    sets = scratch.save(_sets(docs, ids, width, scratch, name), f"{name}-sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ka").alias("na"), F.size("kb").alias("nb"), F.size(F.array_intersect("ka", "kb")).alias("both"))
-    out = scratch.save(both.where(F.expr(f"{den}L * both >= {num}L * (na + nb - both)")).select("a", "b"), f"{name}-links")
+    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
+    sets = scratch.save(_sets(docs, ids, width), f"{name}-sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("y"))
+    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    out = scratch.save(both.mapInArrow(lambda it: _same(it, num, den), "a long, b long"), f"{name}-links")
     for x in ("pairs", "sets", "ids"):
         scratch.drop(f"{name}-{x}")
     return out
 
 
-def _bound(num: int, den: int):
-    """Natively: can the pair with sizes n, m and points p, q link?"""
-    least = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return (F.lit(den + num) * least >= F.lit(num) * (F.col("n") + F.col("m"))) & (F.col("n") * num <= F.col("m") * den) & (F.col("m") * num <= F.col("n") * den)
-
-
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b, n, m, point of a, point of b) whose bound allows a link."""
     for batch in batches:
-        p = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).astype(np.int32)
-        cuts = np.arange(batch.num_rows + 1, dtype=np.int32) * DIMS
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts), pa.array(p))], ["id", "n", "p"])
+        keep = []
+        for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            groups = min(len(x), len(y)) // 2
+            least = int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64))
+            keep.append((den + num) * least >= num * (n + m) and n * num <= m * den and m * num <= n * den)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included)."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _join(docs, width, num, den, id_col, text_col)
+
+
+def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     scratch, bands = Scratch(spark, "jaccard"), Bands(num, den)
@@ -327,9 +368,9 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     link = scratch.save(link.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "candidates")
     scratch.drop("base")
     point = info.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "data")
-    vectors = point.mapInArrow(_points, "id long, n long, p array<int>")
-    bounded = link.join(vectors.select(F.col("id").alias("a"), "n", "p"), "a").join(vectors.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("p").alias("q")), "b")
-    links = _verified(bounded.where(_bound(num, den)).select("a", "b"), docs, width, num, den, scratch, "star")
+    bounded = link.join(point.select(F.col("id").alias("a"), "n", F.col("data").alias("x")), "a").join(point.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("data").alias("y")), "b")
+    bounded = bounded.select("a", "b", "n", "m", "x", "y").mapInArrow(lambda it: _bounded(it, num, den), "a long, b long")
+    links = _verified(bounded, docs, width, num, den, scratch, "star")
     klass = components(links, scratch, "class")
     block = components(link, scratch, "block")
     # blocks whose documents are in more than one class
@@ -354,6 +395,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     lower = F.when(F.col("tiles_below") > 0, F.transform(upto(F.col("tiles_below")), lambda i: cell(i, mine, 1, False))).otherwise(none)
     keep = ["id", "n", "klass", "data", "block"]
     spread = placed.select(*keep, F.col("size").alias("low"), F.explode(cells).alias("c")).union(placed.select(*keep, (F.col("size") - 1).alias("low"), F.explode(lower).alias("c"))).select(*keep, "low", "c.*")
+    spread = spread.repartition(4 * parts, "block", "low", "own", "left", "right")  # the tiles' work isn't told by their bytes
     more = spread.groupBy("block", "low", "own", "left", "right").applyInPandas(lambda pdf: _tile(pdf, num, den), "a long, b long")
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(link, ["a", "b"], "left_anti")
     rest = _verified(more, docs, width, num, den, scratch, "rest")
