@@ -6,8 +6,8 @@ find-first-set. Its bucket is taken whole, left to right; entries whose pair has
 list and queues its two new pairs. So a pre-token of n bytes takes O(n log n) however long it is, and many pre-tokens share one queue:
 they lie in one buffer with breaks between them, and a rank's merges in all of them are one numpy step.
 
-A rank's bucket is taken whole as long as its merges make no pair of a lower rank. Where one does (a vocabulary that allows it is told when
-its table is built), the later entries of that pre-token wait in the bucket until the lower rank is done.
+A rank's bucket is taken whole as long as its merges make no pair of a lower rank. Where one does, the later entries of that pre-token wait
+in the bucket until the lower rank is done. A bucket with few entries is taken one by one.
 
 Texts are split by the pattern; a text is first cut at single spaces between words, where the pattern's matches begin anyway, so that a
 piece met before is looked up. Decoding joins the ids' bytes.
@@ -19,9 +19,12 @@ extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from marginalia.session import ship
 
 #: Pieces that a worker remembers; when full it starts anew. A matter of speed only.
 REMEMBERED = 400_000
+#: Bytes of texts whose new pieces go through one queue.
+TOGETHER = 8 << 20
 #: Longer pieces aren't remembered.
 LONG = 64
 
@@ -104,11 +109,7 @@ class Bpe:
         keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array(whole, np.int64)[order]
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        rank = np.array(whole, np.int64)
-        single = np.zeros(len(tokens), bool)
-        single[self.byte] = True
-        self.rising = bool(((rank > a) | single[a]).all() and ((rank > b) | single[b]).all())
+        self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         self.whole = ids
         self.names = [str(i) for i in range(len(tokens))]
         self.memory: dict[str, tuple[int, str, list[int]]] = {}
@@ -134,79 +135,89 @@ class Bpe:
         pair = np.full(size, -1, np.int64)  # the rank of the pair that begins here
         pair[:-1] = self.rank_of(ids[:-1], ids[1:])
         queued = np.flatnonzero(pair >= 0)
-        order = queued[np.argsort(pair[queued], kind="stable")]
-        ranks = pair[order]
-        cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
+        order, ranks = queued, pair[queued]
         bitmap = Bitmap(len(self.tokens))
-        buckets: dict[int, list[np.ndarray]] = {}
-        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=False):
-            rank = int(ranks[lo])
-            buckets[rank] = [order[lo:hi]]
-            bitmap.add(rank)
+        buckets: dict[int, tuple[list[np.ndarray], list[int]]] = {}  # positions, many or one at a time
+
+        def bucket(rank: int) -> tuple[list[np.ndarray], list[int]]:
+            if rank not in buckets:
+                buckets[rank] = [], []
+                bitmap.add(rank)
+            return buckets[rank]
+
+        def queue(at: np.ndarray, ranks: np.ndarray) -> None:
+            ok = np.flatnonzero(ranks >= 0)
+            ok = ok[np.argsort(ranks[ok], kind="stable")]
+            at, ranks = at[ok], ranks[ok]
+            edge = np.flatnonzero(np.diff(ranks, prepend=-1))
+            for r, lo, hi in zip(ranks[edge].tolist(), edge.tolist(), np.append(edge[1:], len(at)).tolist(), strict=False):
+                if hi - lo < 4:
+                    bucket(r)[1].extend(at[lo:hi].tolist())
+                else:
+                    bucket(r)[0].append(at[lo:hi])
+
+        queue(order, ranks)
+        get = self.pairs.get
         while (rank := bitmap.first()) >= 0:
             bitmap.remove(rank)
-            parts = buckets.pop(rank)
-            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            at = at[pair[at] == rank]  # stale entries go
+            arrays, ones = buckets.pop(rank)
+            if sum(map(len, arrays)) + len(ones) <= 12:
+                for x in arrays:
+                    ones.extend(x.tolist())
+                ones.sort()
+                for k, p in enumerate(ones):
+                    if pair.item(p) != rank:  # a stale entry
+                        continue
+                    gone = after.item(p)
+                    then, prior = after.item(gone), before.item(p)
+                    ids[p], ids[gone], pair[gone], after[p], before[then] = rank, -2, -1, then, p
+                    right, left = ids.item(then), ids.item(prior)
+                    right = get(rank << 32 | right, -1) if right >= 0 else -1
+                    left = get(left << 32 | rank, -1) if left >= 0 else -1
+                    pair[p], pair[prior] = right, left
+                    if right >= 0:
+                        bucket(right)[1].append(p)
+                    if left >= 0:
+                        bucket(left)[1].append(prior)
+                    if 0 <= right < rank or 0 <= left < rank:
+                        # what ranks lower comes before the later entries
+                        if ones[k + 1 :]:
+                            bucket(rank)[1].extend(ones[k + 1 :])
+                        break
+                continue
+            at = np.unique(np.concatenate([*arrays, np.array(ones, np.int64)]))
+            at = every = at[pair[at] == rank]  # stale entries go
             if not len(at):
                 continue
-            every = at
-            if len(at) > 1:
-                # of pairs that overlap, as in a run of one character, every second one from the left
-                chained = np.zeros(len(at), bool)
-                chained[1:] = after[at[:-1]] == at[1:]
-                if chained.any():
-                    head = np.flatnonzero(~chained)
-                    step = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-                    at = at[step % 2 == 0]
+            # of pairs that overlap, as in a run of one character, every second one from the left
+            chained = np.zeros(len(at), bool)
+            chained[1:] = after[at[:-1]] == at[1:]
+            if chained.any():
+                head = np.flatnonzero(~chained)
+                step = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+                at = at[step % 2 == 0]
             gone = after[at]
             then = after[gone]
-            if not self.rising:
+            same = np.full(len(at), rank)
+            right, ahead = self.rank_of(same, ids[then]), ids[before[at]]
+            ahead[1:][then[:-1] == at[1:]] = rank  # the neighbour before is merged in this step too
+            left = self.rank_of(ahead, same)
+            low = ((left >= 0) & (left < rank)) | ((right >= 0) & (right < rank))
+            if low.any():
                 # a merge whose new pair ranks below it comes before the later entries of its pre-token
-                old = ids[at]
-                right = self.rank_of(np.full(len(at), rank), ids[then])
-                ids[at] = rank
-                left = self.rank_of(ids[before[at]], ids[at])
-                ids[at] = old
-                low = ((left >= 0) & (left < rank)) | ((right >= 0) & (right < rank))
-                if low.any():
-                    owner = np.searchsorted(begins, at[low], "right")
-                    first = np.full(n + 2, size)
-                    np.minimum.at(first, owner, at[low])
-                    later = every[every > first[np.searchsorted(begins, every, "right")]]
-                    if len(later):
-                        buckets[rank] = [later]
-                        bitmap.add(rank)
-                    at = at[at <= first[np.searchsorted(begins, at, "right")]]
-                    gone = after[at]
-                    then = after[gone]
-            ids[at], ids[gone] = rank, -2
-            pair[gone] = -1
-            after[at] = then
-            before[then] = at
+                first = np.full(n + 2, size)
+                np.minimum.at(first, np.searchsorted(begins, at[low], "right"), at[low])
+                bucket(rank)[0].append(every[every > first[np.searchsorted(begins, every, "right")]])
+                stay = at <= first[np.searchsorted(begins, at, "right")]
+                at, gone, then, left, right = at[stay], gone[stay], then[stay], left[stay], right[stay]
+            ids[at], ids[gone], pair[gone], after[at], before[then] = rank, -2, -1, then, at
+            met = ids[then] == rank  # neighbours merged in the same step
+            if met.any():
+                right[met] = self.rank_of(ids[at[met]], ids[then[met]])
             prior = before[at]
-            for where, new in ((at, self.rank_of(ids[at], ids[then])), (prior, self.rank_of(ids[prior], ids[at]))):
-                pair[where] = new
-                ok = new >= 0
-                if not ok.any():
-                    continue
-                if len(where) < 8:
-                    for p, r in zip(where[ok], new[ok].tolist(), strict=True):
-                        if r not in buckets:
-                            buckets[r] = []
-                            bitmap.add(r)
-                        buckets[r].append(p[None])
-                    continue
-                w, v = where[ok], new[ok]
-                by = np.argsort(v, kind="stable")
-                w, v = w[by], v[by]
-                edge = np.flatnonzero(np.diff(v, prepend=-1))
-                for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(v)], strict=True):
-                    r = int(v[lo])
-                    if r not in buckets:
-                        buckets[r] = []
-                        bitmap.add(r)
-                    buckets[r].append(w[lo:hi])
+            pair[at], pair[prior] = right, left
+            queue(at, right)
+            queue(prior, left)
         alive = np.flatnonzero(ids >= 0)
         owner = np.searchsorted(begins, alive, "right") - 1
         values, edges = ids[alive].tolist(), np.searchsorted(owner, np.arange(n + 1)).tolist()
@@ -239,19 +250,28 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, str, list[int]]]:
         """The ids of pieces not met before, all their pre-tokens through one queue."""
-        words, owners, pretokens, lengths = list(pieces), [], [], []
-        seen: dict[str, int] = {}
-        for w in words:
+        # one space and then none: side by side these are split as each for itself
+        plain = [w for w in pieces if w[0] == " " and len(w) > 1 and len(w.split()) == 1 and not w[1].isspace() and not w[-1].isspace()]
+        odd = list(pieces.difference(plain))
+        words, owners, lengths, seen = plain + odd, [], [], {}
+        found = self.pattern.findall("".join(plain))
+        ends, at, count = iter(accumulate(map(len, plain))), 0, 0
+        end = next(ends, 0)
+        for p in found:
+            owners.append(seen.setdefault(p, len(seen)))
+            at += len(p)
+            count += 1
+            if at == end:
+                lengths.append(count)
+                count, end = 0, next(ends, 0)
+        for w in odd:
             found = self.pattern.findall(w)
             lengths.append(len(found))
-            for p in found:
-                if p not in seen:
-                    seen[p] = len(pretokens)
-                    pretokens.append(p.encode())
-                owners.append(seen[p])
+            owners += [seen.setdefault(p, len(seen)) for p in found]
+        pretokens = [p.encode() for p in seen]
         done: list[list[int] | None] = [[i] if (i := self.whole.get(p)) is not None else None for p in pretokens]
         rest = [i for i, x in enumerate(done) if x is None]
-        for lo, hi in T.chunks([pretokens[i] for i in rest]):
+        for lo, hi in T.chunks([pretokens[i] for i in rest], 4 * T.CHUNK):
             for i, x in zip(rest[lo:hi], self.encode_all([pretokens[i] for i in rest[lo:hi]]), strict=True):
                 done[i] = x
         out, at, names = {}, 0, self.names
@@ -263,18 +283,28 @@ class Bpe:
 
     def encode_texts(self, texts: list[str]) -> list[list[tuple[int, str, list[int]]]]:
         """For each text its pieces' (count, decimal ids joined by commas, ids)."""
+        collecting = gc.isenabled()
+        gc.disable()  # a great many small objects that stay, none of them in a cycle
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[str]) -> list[list[tuple[int, str, list[int]]]]:
         split = [self.pieces(t) if t else [] for t in texts]
         memory = self.memory
-        new = {w for ws in split for w in ws}.difference(memory)
+        new = set().union(*split).difference(memory)
         found = self.learn(new) if new else {}
         if len(memory) + len(found) > REMEMBERED:
             memory.clear()
-            found |= self.learn({w for ws in split for w in ws}.difference(found))
+            found |= self.learn(set().union(*split).difference(found))
         out = []
         if found:
             memory.update({w: x for w, x in found.items() if len(w) <= LONG})
+            get = memory.get
             for ws in split:
-                out.append([memory[w] if w in memory else found[w] for w in ws])
+                out.append([get(w) or found[w] for w in ws])
         else:
             for ws in split:
                 out.append([memory[w] for w in ws])
@@ -304,7 +334,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         coder = bpe(path, pattern)
         for batch in batches:
             texts = T.blobs(batch.column(1))
-            for i, j in T.chunks(texts, 4 * T.CHUNK):
+            for i, j in T.chunks(texts, TOGETHER):
                 found = coder.encode_texts([t.decode() if t else "" for t in texts[i:j]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([[x for _, _, ids in p for x in ids] for p in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -320,15 +350,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         token = coder.tokens.__getitem__
         for batch in batches:
             texts = T.blobs(batch.column(1))
-            for i, j in T.chunks(texts, 4 * T.CHUNK):
+            for i, j in T.chunks(texts, TOGETHER):
                 found = coder.encode_texts([t.decode() if t else "" for t in texts[i:j]])
                 n, ids_sha, out_sha = [], [], []
                 for parts in found:
-                    n.append(sum([p[0] for p in parts]))
-                    ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                    decoded = hashlib.sha256()
-                    decoded.update(b"".join([b"".join(map(token, p[2])) for p in parts]))
-                    out_sha.append(decoded.hexdigest())
+                    n.append(sum(map(itemgetter(0), parts)))
+                    ids_sha.append(hashlib.sha256(",".join(map(itemgetter(1), parts)).encode()).hexdigest())
+                    decoded = b"".join(map(token, chain.from_iterable(map(itemgetter(2), parts))))
+                    out_sha.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
