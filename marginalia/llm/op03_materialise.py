@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
-from marginalia.llm.op10_bpe import bpe
+from marginalia.llm.op10_bpe import TOGETHER, bpe
 from marginalia.session import ship
 
 LENGTH = 256
@@ -90,7 +90,7 @@ class Layout:
 
 def _encoded(texts: list[bytes | None], path: str, pattern: str) -> Iterator[list[list[int]]]:
     coder = bpe(path, pattern)
-    for i, j in T.chunks(texts, 4 * T.CHUNK):
+    for i, j in T.chunks(texts, TOGETHER):
         yield [[x for p in parts for x in p[2]] for parts in coder.encode_texts([t.decode() if t else "" for t in texts[i:j]])]
 
 
@@ -105,7 +105,7 @@ def write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
         coder, n = bpe(path, pattern), 0
         for batch in batches:
             texts = T.blobs(batch.column(1))
-            for i, j in T.chunks(texts, 4 * T.CHUNK):
+            for i, j in T.chunks(texts, TOGETHER):
                 for parts in coder.encode_texts([t.decode() if t else "" for t in texts[i:j]]):
                     n += sum([p[0] for p in parts]) // length + 1
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["part", "n"])
