@@ -30,7 +30,7 @@ def any_of(values: list[str]) -> str:
 
 def comment_text(raw: Column) -> Column:
     """A comment without its opening and closing marks, the longest that fit."""
-    return F.regexp_replace(F.regexp_replace(raw, f"^(?:{any_of(rules.OPENERS)})", ""), f"(?:{any_of(rules.CLOSERS)})$", "")
+    return F.regexp_replace(F.regexp_replace(raw, f"^(?:{any_of(rules.OPENERS)})", ""), f"(?:{any_of(rules.CLOSERS)})\\z", "")
 
 
 def contains_any(text: Column, values: list[str]) -> Column:
@@ -58,13 +58,13 @@ def line_of(latin_source: Column, offset: Column) -> Column:
 def column_of(latin_source: Column, offset: Column) -> Column:
     """The 1-based column in bytes."""
     before = F.substring(latin_source, F.lit(1), offset.cast("int"))
-    return (F.length(F.regexp_extract(before, r"([^\r\n]*)$", 1)) + 1).cast("long")
+    return (F.length(F.regexp_extract(before, r"([^\r\n]*)\z", 1)) + 1).cast("long")
 
 
 def code_before(latin_source: Column, start: Column) -> Column:
     """Does anything but ASCII white space come before this offset on its line? Only LF ends a line here."""
     before = F.substring(latin_source, F.lit(1), start.cast("int"))
-    return F.regexp_extract(before, r"([^\n]*)$", 1).rlike(r"[^ \t\n\r\f]")
+    return F.regexp_extract(before, r"([^\n]*)\z", 1).rlike(r"[^ \t\n\r\f]")
 
 
 def extension_label(path: Column) -> Column:

@@ -83,7 +83,7 @@ def classify(comments: DataFrame) -> DataFrame:
     raw, language, at = F.col("raw"), F.col("language"), F.col("span_start").cast("int")
     lower = F.trim(F.lower(F.decode(F.encode(comment_text(raw), "ISO-8859-1"), "UTF-8")))
     before = F.substring("source", F.lit(1), at)
-    line_before = F.regexp_extract(before, r"([^\r\n]*)$", 1)
+    line_before = F.regexp_extract(before, r"([^\r\n]*)\z", 1)
     bom = F.when(F.col("source").startswith("ï»¿"), 3).otherwise(0)
     line_only = F.regexp_replace(line_before, "^ï»¿", "").rlike(r"^[ \t\f]*$")
     early = F.regexp_count(before, F.lit(r"\r\n|\r|\n")) < 2

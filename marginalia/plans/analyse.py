@@ -11,7 +11,7 @@ from marginalia.operators import lex
 from marginalia.operators.classify import classify
 from marginalia.operators.layout import applied, plan_edits
 from marginalia.operators.shape import shape
-from marginalia.operators.verdict import Options, decide, first_match
+from marginalia.operators.verdict import Options, decide
 from marginalia.schema import KINDS
 
 
@@ -128,7 +128,9 @@ def unused_settings(judged: DataFrame, options: Options) -> DataFrame:
     for name, patterns in (("keep_regex", options.keep_regex), ("remove_regex", options.remove_regex)):
         want += [(name, p) for p in patterns]
         if patterns:
-            used.append(judged.select(F.lit(name).alias("setting"), F.element_at(F.array(*map(F.lit, patterns)), first_match(F.col("raw"), patterns) + 1).alias("value")))
+            # each pattern for itself: one that never matches first is still in use if it matches
+            hits = F.explode(F.array(*[F.when(F.col("raw").rlike(p), F.lit(p)) for p in patterns]))
+            used.append(judged.select(F.lit(name).alias("setting"), hits.alias("value")))
     for name, kinds in (("keep_kind", options.keep_kinds), ("remove_kind", options.remove_kinds)):
         want += [(name, k) for k in kinds]
         if kinds:
@@ -144,7 +146,7 @@ def advice(judged: DataFrame) -> DataFrame:
     text = F.decode(F.encode(comment_text(F.col("raw")), "ISO-8859-1"), "UTF-8")
     tag = opening_tag(text)
     code = text.rlike(r"[;{}]\s*$|^\s*(?:if|for|while|return|import|def|let|const|var)\b.*[({;=]|^\s*\w+\s*\([^)]*\)\s*;?\s*$")
-    trailing = F.regexp_extract(F.expr("substring(source, 1, cast(span_start AS int))"), r"([^\n]*)$", 1).rlike(r"[^ \t\r\f]")
+    trailing = F.regexp_extract(F.expr("substring(source, 1, cast(span_start AS int))"), r"([^\n]*)\z", 1).rlike(r"[^ \t\r\f]")
     rest = F.expr("substring(source, cast(span_end AS int) + 1, 400)")
     opens = rest.rlike(r"^\s*(?:pub|fn|def|class|function|func|struct|enum|interface|public|private|static|export|type|module|impl|trait)\b")
     decision = (
