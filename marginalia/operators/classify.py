@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import rules
-from marginalia.functions.text import any_of, comment_text, legal_marker
+from marginalia.functions.text import any_of, comment_text, fence, legal_marker
 
 
 def _ordered(values: list[str]) -> str:
@@ -88,7 +88,7 @@ def classify(comments: DataFrame) -> DataFrame:
     line_only = F.regexp_replace(line_before, "^ï»¿", "").rlike(r"^[ \t\f]*$")
     early = F.regexp_count(before, F.lit(r"\r\n|\r|\n")) < 2
     encoding = language.isin("python", "ruby") & raw.startswith("#") & early & line_only & raw.rlike(r"coding[:=][ \t]*[A-Za-z0-9._-]")
-    out = comments.withColumn("_lower", lower).withColumn("directive", directive(F.col("_lower"), raw, language))
+    out = comments.withColumn("_lower", fence(lower)).withColumn("directive", fence(directive(F.col("_lower"), raw, language)))
     pin = (language == "yaml") & F.regexp_replace(line_before, "^ï»¿", "").rlike(_PIN) & raw.rlike(_PINNED)
     kind = (
         F.when((at == bom) & raw.startswith("#!"), "shebang")
@@ -101,4 +101,4 @@ def classify(comments: DataFrame) -> DataFrame:
         .when(F.col("directive").isNotNull(), "directive")
         .otherwise(F.col("lexical_kind"))
     )
-    return out.withColumn("kind", kind).drop("_lower")
+    return out.withColumn("kind", fence(kind)).drop("_lower")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import rules
-from marginalia.functions.text import age_days
+from marginalia.functions.text import age_days, fence
 from marginalia.schema import KINDS, POLICIES
 
 
@@ -88,7 +88,7 @@ def decide(comments: DataFrame, options: Options) -> DataFrame:
     for text, reason, tier in reversed(options.protected):
         claimed = F.when(raw.contains(text), F.lit("load-bearing" if tier == "load-bearing" else "directive")).otherwise(claimed)
         why = F.when(raw.contains(text), F.lit(reason)).otherwise(why)
-    out = comments.withColumn("claimed", why).withColumn("kind", F.coalesce(claimed, kind))
+    out = comments.withColumn("claimed", why).withColumn("kind", F.coalesce(claimed, kind) if options.protected else kind)
     protect = protection(kind)
     keep_kind = kind.isin(*options.keep_kinds) if options.keep_kinds else F.lit(False)
     keep_regex = first_match(raw, options.keep_regex).isNotNull()
@@ -108,7 +108,7 @@ def decide(comments: DataFrame, options: Options) -> DataFrame:
         .when(~by_policy, "removed-by-policy")
         .otherwise("kept-by-policy")
     )
-    out = out.withColumn("explanation", explanation)
+    out = out.withColumn("explanation", fence(explanation))
     removed = F.col("explanation").startswith("removed")
     reason = (
         F.when(removed, F.lit(None))
@@ -121,5 +121,5 @@ def decide(comments: DataFrame, options: Options) -> DataFrame:
         .when(F.lit(options.policy == "none"), "policy none removes nothing")
         .otherwise("conservative policy")
     )
-    out = out.withColumn("action", F.when(removed, "remove").otherwise("keep"))
+    out = out.withColumn("action", fence(F.when(removed, "remove").otherwise("keep")))
     return out.withColumn("reason", F.when(removed, F.lit(None)).otherwise(F.coalesce("claimed", reason))).drop("claimed")
