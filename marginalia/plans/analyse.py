@@ -60,12 +60,12 @@ def kind_breakdown(judged: DataFrame) -> DataFrame:
 
 
 def kept_for(judged: DataFrame) -> DataFrame:
-    return judged.where("action = 'keep'").groupBy("reason").agg(F.count("*").alias("n"))
+    return judged.groupBy("reason").agg(F.count_if(F.col("action") == "keep").alias("n")).where("n > 0")
 
 
 def busiest(judged: DataFrame, most: int = 5) -> DataFrame:
     """The files with the most removable comments: a report of the top few."""
-    return judged.where("action = 'remove'").groupBy("path").agg(F.count("*").alias("removable")).orderBy(F.desc("removable"), "path").limit(most)
+    return ledger(judged).withColumnRenamed("allowed", "removable").orderBy(F.desc("removable"), "path").limit(most)
 
 
 def coverage(scanned: DataFrame, skipped: DataFrame, not_walked: DataFrame | None = None) -> DataFrame:
@@ -94,7 +94,8 @@ def top_extensions(covered: DataFrame, most: int = 8) -> DataFrame:
 def tag_inventory(judged: DataFrame) -> DataFrame:
     """How often a comment opens with which upper-case tag; commentary only."""
     text = F.decode(F.encode(comment_text(F.col("raw")), "ISO-8859-1"), "UTF-8")
-    return judged.where(F.col("kind").isin(*rules.COMMENTARY_KINDS)).select(opening_tag(text).alias("tag")).where("tag IS NOT NULL").groupBy("tag").agg(F.count("*").alias("n"))
+    tag = F.when(F.col("kind").isin(*rules.COMMENTARY_KINDS), opening_tag(text))
+    return judged.groupBy(tag.alias("tag")).agg(F.count(tag).alias("n")).where("n > 0")
 
 
 def tags_off_list(inventory: DataFrame, options: Options) -> DataFrame:
@@ -107,7 +108,7 @@ def tags_off_list(inventory: DataFrame, options: Options) -> DataFrame:
 
 def ledger(judged: DataFrame) -> DataFrame:
     """path, allowed: the removable comments of each file that has any."""
-    return judged.where("action = 'remove'").groupBy("path").agg(F.count("*").alias("allowed"))
+    return judged.groupBy("path").agg(F.count_if(F.col("action") == "remove").alias("allowed")).where("allowed > 0")
 
 
 def drift(recorded: DataFrame, found: DataFrame) -> DataFrame:
@@ -161,5 +162,5 @@ def advice(judged: DataFrame) -> DataFrame:
     )
     found = judged.withColumn("decision", F.when(F.col("action") == "remove", decision))
     # per file first: the number of files is then a count of rows, not of distinct values
-    per = found.groupBy("decision", "path").agg(F.count("*").alias("c")).where("decision IS NOT NULL")
-    return per.groupBy("decision").agg(F.sum("c").alias("comments"), F.count("*").alias("files")).orderBy(F.desc("comments"), "decision")
+    per = found.groupBy("decision", "path").agg(F.count_if(F.col("action") == "remove").alias("c"))
+    return per.groupBy("decision").agg(F.sum("c").alias("comments"), F.count_if(F.col("c") > 0).alias("files")).where("comments > 0").orderBy(F.desc("comments"), "decision")

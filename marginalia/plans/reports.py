@@ -18,6 +18,14 @@ def positions(judged: DataFrame) -> DataFrame:
     return judged.withColumns({"line": line_of(F.col("source"), F.col("span_start")), "column": column_of(F.col("source"), F.col("span_start"))})
 
 
+def findings(judged: DataFrame) -> DataFrame:
+    """The comments that don't stay, with line and column. Gathered by source and spread again: a plain filter would have the optimizer
+    carry the whole verdict into its constraints, which takes minutes to plan."""
+    columns = ["span_start", "span_end", "kind", "action", "explanation", "raw", "line", "column"]
+    per = positions(judged).groupBy("path").agg(F.collect_list(F.when(F.col("action") != "keep", F.struct(*columns))).alias("found"))
+    return per.select("path", F.explode("found").alias("f")).select("path", "f.*")
+
+
 def preview(raw, most: int = 60):
     """A comment on one line: white space folded, controls replaced, cut with an ellipsis."""
     text = F.trim(F.regexp_replace(F.regexp_replace(F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8"), r"\s+", " "), r"[\p{Cc}\p{Cf}]", "�"))
@@ -25,7 +33,7 @@ def preview(raw, most: int = 60):
 
 
 def human(judged: DataFrame) -> DataFrame:
-    p = positions(judged.where("action != 'keep'"))
+    p = findings(judged)
     return p.select("path", "span_start", F.format_string("%s:%d:%d: %s %s (%s): %s", "path", "line", "column", "action", "kind", "explanation", preview(F.col("raw"))).alias("text"))
 
 
@@ -38,7 +46,7 @@ def jsonl(judged: DataFrame) -> DataFrame:
 
 def sarif_results(judged: DataFrame) -> DataFrame:
     """A SARIF result for each finding; a run is these between a head and a foot."""
-    p = positions(judged.where("action = 'remove'"))
+    p = findings(judged)
     region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), F.col("span_start").alias("byteOffset"), (F.col("span_end") - F.col("span_start")).alias("byteLength"))
     where = F.struct(F.struct(F.struct(percent_encode(F.col("path")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(F.concat(F.lit("comment/"), F.col("kind")).alias("ruleId"), F.lit("note").alias("level"), F.struct(F.concat(F.lit("removable "), F.col("kind"), F.lit(" comment")).alias("text")).alias("message"), F.array(where).alias("locations"))
@@ -47,7 +55,7 @@ def sarif_results(judged: DataFrame) -> DataFrame:
 
 def annotations(judged: DataFrame) -> DataFrame:
     """A workflow command for each finding."""
-    p = positions(judged.where("action = 'remove'"))
+    p = findings(judged)
     head = F.format_string("::notice file=%s,line=%d,col=%d::", annotation_escape(F.col("path"), True), "line", "column")
     return p.select("path", "span_start", F.concat(head, annotation_escape(F.concat(F.lit("removable "), F.col("kind"), F.lit(": "), preview(F.col("raw"))))).alias("value"))
 
