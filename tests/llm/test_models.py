@@ -146,6 +146,25 @@ def test_lm_base_equals_brute_force_and_is_beaten(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark):
+    """A language that only documents outside one hash class of eight speak; its next word follows from the last."""
+    rng = random.Random(4)
+    ids = spark.range(3000).selectExpr("id", "pmod(xxhash64(id), 8) = 0 AS eighth").collect()
+    docs = []
+    for i, eighth in ids:
+        if eighth:
+            text = rng.choices(["a%d" % k for k in range(30)], k=40)
+        else:
+            at = rng.randrange(30)
+            text = ["b%d" % ((at + k) % 30) for k in range(40)]
+        docs.append((i, " ".join(text)))
+    out = lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    eighth = dict(tuple(r) for r in ids)
+    held = [r for r in out if r["held_out"] and not eighth[r["doc_id"]]]
+    assert len(held) > 300
+    assert sum(r["score"] for r in held) > 0.97 * sum(r["base_score"] for r in held)
+
+
 def test_url_parts_and_rules(spark):
     rows = [
         (1, "https://WWW.Example.COM/en/7?x#y"),
