@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits (A-Z lower-cased) and of all bytes above 127. The n-grams of the test items are counted over
-all documents; each item keeps as seeds those that few documents hold beside the copies of the item, and at least its rarer half, so an
-item that leaked into a great many documents keeps its seeds too. A document with a seed is aligned with the item around it, word by word: a match scores 1, a mismatch or a
-gap -1. A document counts as contaminated where the best local alignment scores at least `similar` of the item's words. So copies
+Words are runs of ASCII letters and digits (A-Z lower-cased) and of all bytes above 127. All n-grams of the test items are seeds, frequent
+ones too: an edited copy may hold no others, however many documents hold it. A document with a seed is aligned with the item around it,
+word by word: a match scores 1, a mismatch or a gap -1. A place with fewer words of the item than the least score is not aligned, as it
+can't reach it. A document counts as contaminated where the best local alignment scores at least `similar` of the item's words. So copies
 with words put in, left out or replaced are found as well as exact ones, and documents that only share a phrase are not.
 
 The items are a stated query set: they are taken in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words, each block is sent to the
-executors and held against all rows in two maps. Nothing but the counts of a block's n-grams is shuffled.
+executors and held against all rows in one map. Nothing is shuffled.
 
 Defined results: null and empty texts and items match nothing; an item with fewer words than a seed has one seed, all of it; repeated
 items each match; repeated rows give repeated rows; extra columns are ignored; texts are taken whole.
@@ -36,9 +36,6 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 @dataclass(frozen=True)
 class Rules:
     seed_words: int = 3
-    #: an n-gram is rare if at most this share of the documents hold it, or at most this number, beyond what the item's own copies explain
-    rare: float = 0.0005
-    few: int = 100
     similar: float = 0.5
     #: an alignment of fewer words counts only if it is all of the item
     least_words: int = 8
@@ -90,10 +87,7 @@ class Items:
         first, key = grams(owner, h, rules.seed_words)
         item = owner[first]
         offset = first - cuts[item]
-        self.short: dict[int, int] = {}
-        self.set(key, item, offset)
-
-    def set(self, key: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        self.vocabulary = [np.unique(w) for w in self.words]
         order = np.lexsort((offset, item, key))
         self.key, self.item, self.offset = key[order], item[order], offset[order]
         self.maybe = np.zeros(1 << 20, bool)
@@ -104,17 +98,6 @@ class Items:
             if 0 < len(w) < self.rules.seed_words:
                 self.brief.setdefault(len(w), {}).setdefault(int(T.windows(w, len(w))[0]), []).append(i)
 
-    def only_rare(self, found: dict[int, int], documents: int) -> None:
-        """Keep the seeds of which few documents have any, and the rarer half of each item's."""
-        df = np.array([found.get(k, 0) for k in self.key.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((self.offset, df, self.item))
-        of = self.item[order]
-        rank = np.arange(len(of)) - np.searchsorted(of, of)
-        size = np.bincount(of, minlength=len(self.words))[of] if len(of) else of
-        own = df[order][np.searchsorted(of, of) + size // 4] if len(of) else df  # copies of an item bring all of its n-grams
-        keep = order[(2 * rank < size + 1) | (df[order] <= 4 * own + max(self.rules.few, self.rules.rare * documents))]
-        self.set(self.key[keep], self.item[keep], self.offset[keep])
-
     def hits(self, first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word in the texts, index of the seed) of every seed found."""
         some = np.flatnonzero(self.maybe[key & np.uint64((1 << 20) - 1)])
@@ -123,15 +106,6 @@ class Items:
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(first[some], n), at
 
-    def present(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams of the items that the texts hold, and in how many of them."""
-        owner, h = words(texts)
-        first, seed = self.hits(*grams(owner, h, self.rules.seed_words))
-        if not len(seed):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.unique(np.stack([self.key[seed].view(np.int64), owner[first]], 1), axis=0)
-        return np.unique(pairs[:, 0], return_counts=True)
-
     def search(self, texts: list[bytes | None]) -> list[tuple[int, int, int, int, int]]:
         """(text index, item index, score, first word, word after the last) of the best alignment of each pair that is similar."""
         owner, h = words(texts)
@@ -165,6 +139,7 @@ class Items:
         low, high, text = low[head], np.maximum.reduceat(high, head), text[head]
         least = max(self.rules.similar * len(want), min(self.rules.least_words, len(want)))
         size = high - low
+        own = self.vocabulary[item]
         for group in np.array_split(np.argsort(size, kind="stable"), max(1, int(size.max() * len(size)) // 2_000_000 + 1)):
             if not len(group):
                 continue
@@ -172,6 +147,11 @@ class Items:
             place = low[group][:, None] + np.arange(width)
             inside = place < high[group][:, None]
             rows = np.where(inside, h[np.minimum(place, len(h) - 1)], np.uint64(0))
+            # no more words match than the place has of the item's
+            able = (own[np.minimum(np.searchsorted(own, rows), len(own) - 1)] == rows).sum(1) >= least
+            group, rows = group[able], rows[able]
+            if not len(group):
+                continue
             score, end = align(want, rows)
             for g in np.flatnonzero(score >= least):
                 w, t = group[g], int(text[group[g]])
@@ -198,24 +178,6 @@ def blocks(benchmark: DataFrame, rules: Rules, id_col: str = "item_id", text_col
         yield Items(ids, texts, rules)
 
 
-def seeded(items: Items, docs: DataFrame) -> Items:
-    """The block with its rare seeds only, by a count over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = T.blobs(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(texts)], pa.int64())], ["gram", "n"])
-            for i, j in T.chunks(texts):
-                gram, n = items.present(texts[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
-
-    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most the block's n-grams
-    df = {r["gram"]: r["n"] for r in found}
-    documents = df.pop(None, 0)
-    items.only_rare(df, documents)
-    return items
-
-
 SCHEMA = "doc_id long, item_id long, score long, item_words long, similarity double, first_word long, end_word long"
 
 
@@ -226,8 +188,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, id_c
     rules = rules or Rules()
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     out = spark.createDataFrame([], SCHEMA)
-    for block in blocks(benchmark, rules):
-        items = seeded(block, docs)
+    for items in blocks(benchmark, rules):
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -247,8 +208,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None) ->
     ship(docs.sparkSession)
     rules = rules or Rules()
     at = docs.columns.index("text")
-    for block in blocks(benchmark, rules):
-        items = seeded(block, docs)
+    for items in blocks(benchmark, rules):
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

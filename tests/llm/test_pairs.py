@@ -149,6 +149,27 @@ def test_copies_are_found_and_clean_documents_left(spark):
     assert decontaminate.find(df, bench.where("false")).count() == 0
 
 
+def test_edited_copies_in_many_documents_are_found(spark):
+    """Every fifth (every sixth) word of an item replaced, the same in several hundred documents: the grams left are frequent ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [[word() for _ in range(40)] for _ in range(2)]
+    copies = [[word() if k % n == n - 1 else w for k, w in enumerate(item)] for item, n in zip(items, (5, 6), strict=True)]
+    docs, dirty = [], set()
+    for i in range(1200):
+        text = [word() for _ in range(rng.randint(5, 60))]
+        if i % 3:
+            text += copies[i % 3 - 1]
+            dirty.add((i, i % 3 - 1))
+        elif i % 2:  # a phrase of an item, as often
+            text += items[0][4:10]
+        docs.append((i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == dirty
+    assert {r["doc_id"] for r in decontaminate.remove(df, bench).collect()} == {i for i in range(0, 1200, 3)}
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
         for key in (1, 2):
