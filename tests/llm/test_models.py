@@ -165,6 +165,19 @@ def test_lm_learns_from_every_training_document(spark):
     assert sum(r["score"] for r in held) > 0.97 * sum(r["base_score"] for r in held)
 
 
+def test_lm_knows_more_words_with_more_training_tokens(spark, monkeypatch):
+    assert lm.HIDDEN >= 32 and lm._items(10**6) >= 4096 and lm._items(10**10) >= 100_000
+    sizes = []
+    make = lm.Shape
+    monkeypatch.setattr(lm, "Shape", lambda counts: sizes.append(len(counts)) or make(counts))
+    monkeypatch.setattr(lm, "VOCABULARY", 50)
+    for n in (100, 1600):
+        docs = [(i, " ".join("w%d" % (k * 7 + i) for k in range(20))) for i in range(n)]
+        lm.score(spark.createDataFrame(docs, "doc_id long, text string"), rounds=0)
+    tokens = 21 * sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(1600))
+    assert sizes == [52, math.isqrt(tokens) + 2]
+
+
 def test_url_parts_and_rules(spark):
     rows = [
         (1, "https://WWW.Example.COM/en/7?x#y"),
