@@ -178,6 +178,36 @@ def test_lm_knows_more_words_with_more_training_tokens(spark, monkeypatch):
     assert sizes == [52, math.isqrt(tokens) + 2]
 
 
+def test_lm_counts_are_right_where_the_head_is_full(spark):
+    """One text of 70,000 words that occur once each: all counts but one are in one step, and more than the head holds."""
+    teach = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 5 != 1)
+    held = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 5 == 1)
+    docs = [(teach, " ".join("w%d" % k for k in range(70_000))), (held, "w1 w69999 other")]
+    counts = spark.createDataFrame([(b"\n", 1), *((b"w%d" % k, 1) for k in range(70_000))], "word binary, c long")
+    head = [bytes(r["word"]) for r in lm._head(counts, lm.HEAD)]
+    assert head == [b"\n", *sorted(b"w%d" % k for k in range(70_000))[: lm.HEAD]]
+    out = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), rounds=0).collect()}
+    once, never = (math.log10(c / (70_001 + 0.5 * 70_002)) for c in (1.5, 0.5))
+    assert (out[teach]["n_known"], out[held]["n_known"]) == (70_001, 3)
+    assert abs(out[teach]["base_score"] - 70_001 * once) < 1e-3
+    assert abs(out[held]["base_score"] - (3 * once + never)) < 1e-9
+    # the end has the head's lowest count: words beyond the head still meet theirs
+    few = spark.createDataFrame([(b"\n", 1), (b"a", 9), (b"b", 5), (b"c", 4)], "word binary, c long")
+    assert [bytes(r["word"]) for r in lm._head(few, 2)] == [b"a", b"b", b"\n"]
+
+
+def test_lm_counts_beyond_a_small_head(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 5)
+    monkeypatch.setattr(lm, "VOCABULARY", 3)
+    rng = random.Random(5)
+    docs = [(i, " ".join("w%d" % min(rng.randrange(40), rng.randrange(40)) for _ in range(60))) for i in range(12)]
+    out = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), rounds=0).collect()
+    teach = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.split(), "\n"])
+    n, v = sum(teach.values()), len(teach)
+    want = {i: sum(math.log10((teach[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), "\n"]) for i, t in docs}
+    assert all(abs(r["base_score"] - want[r["doc_id"]]) < 1e-6 for r in out)
+
+
 def test_url_parts_and_rules(spark):
     rows = [
         (1, "https://WWW.Example.COM/en/7?x#y"),
