@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +60,26 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _BOILER = re.compile(r"©|\(c\)|copyright|all rights|cookie|newsletter|subscribe|sign up|log ?in|privacy|share|advertis|sponsor|comment|reply|read more|impressum|datenschutz|werbung|anzeige|publicité|publicidad|mentions légales", re.I)
 
 
+#: Elements that say what they hold, whatever they are named.
+_TELLING = frozenset(("nav", "aside", "footer", "header", "form", "article", "main"))
+
+
+@dataclass(eq=False)
+class Path:
+    """A block element and what it and its ancestors say; equal ones of a page are one object, so depth costs a block nothing."""
+
+    tag: str
+    own: frozenset[str]
+    tags: frozenset[str]
+    hints: frozenset[str]
+    #: the nearest element that says anything
+    near: str
+
+
 @dataclass
 class Block:
     text: str
-    #: (tag, hints) from the nearest block element outwards
-    path: tuple[tuple[str, frozenset[str]], ...]
+    path: Path
     linked: int
     label: int | None = None
 
@@ -72,10 +87,10 @@ class Block:
 @dataclass
 class _Element:
     tag: str
-    hints: frozenset[str]
+    #: of the nearest block element, itself included
+    path: Path
+    #: of the nearest element with one, itself included
     label: int | None
-    hidden: bool = False
-    inside: tuple = field(default=())
 
 
 _named: dict[str, frozenset[str]] = {}
@@ -107,8 +122,12 @@ def _attributes(text: str) -> tuple[str, int | None, bool]:
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
-    root = _Element("html", frozenset(), None)
-    stack = [root]
+    none: frozenset[str] = frozenset()
+    stack = [_Element("html", Path("html", none, frozenset(("html",)), none, "none"), None)]
+    paths: dict[tuple[int, str, frozenset[str]], Path] = {}
+    # places in the stack of the open elements by tag, and of the block elements; the root isn't among them
+    places: dict[str, list[int]] = {}
+    open_blocks: list[int] = []
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -118,15 +137,35 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                path = tuple((e.tag, e.hints | {"hidden"} if e.hidden else e.hints) for e in reversed(stack) if e.tag in BLOCK)
-                label = next((e.label for e in reversed(stack) if e.label is not None), None)
-                out.append(Block(text, path, linked, label))
+                out.append(Block(text, stack[-1].path, linked, stack[-1].label))
             parts.clear()
         linked = 0
 
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else 0
+
+    def push(tag: str, hints: frozenset[str], label: int | None, hidden: bool) -> None:
+        above = stack[-1]
+        path = above.path
+        if tag in BLOCK:
+            own = hints | {"hidden"} if hidden else hints
+            key = (id(path), tag, own)
+            if key not in paths:
+                near = tag if tag in _TELLING else min(own) if own else path.near
+                paths[key] = Path(tag, own, path.tags | {tag}, path.hints | own, near)
+            path = paths[key]
+            open_blocks.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(_Element(tag, path, above.label if label is None else label))
+
     def pop(i: int) -> None:
-        if any(e.tag in BLOCK for e in stack[i:]):
+        if open_blocks and open_blocks[-1] >= i:
             flush()
+        for e in stack[i:]:
+            places[e.tag].pop()
+            if e.tag in BLOCK:
+                open_blocks.pop()
         del stack[i:]
 
     at, size = 0, len(page)
@@ -152,15 +191,11 @@ def blocks(page: str) -> list[Block]:
         if slash:
             if tag == "br":
                 parts.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            i = last(tag)
+            if i and (tag in BLOCK or not open_blocks or i > open_blocks[-1]):
+                pop(i)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in OPAQUE:
             if not rest.endswith("/") or tag not in ("svg", "math"):
@@ -176,25 +211,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        pop(i)
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            for i in range(len(stack) - 1, 0, -1) if tag in _CLOSES else ():
-                if stack[i].tag in _CLOSES[tag]:
-                    pop(i)
-                    if tag != "tr":
-                        break
-                elif stack[i].tag in _BARRIER:
+            if tag not in ("html", "body") and open_blocks and stack[open_blocks[-1]].tag == "p":
+                pop(open_blocks[-1])
+            while tag in _CLOSES:
+                i = max(map(last, _CLOSES[tag]))
+                if i <= max(map(last, _BARRIER)):
+                    break
+                pop(i)
+                if tag != "tr":
                     break
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
-        if len(stack) < 512:
-            names, label, hidden = _attributes(rest)
-            stack.append(_Element(tag, _hints(names) if names else frozenset(), label, hidden))
+        names, label, hidden = _attributes(rest)
+        push(tag, _hints(names) if names else none, label, hidden)
     flush()
     return out
 
@@ -209,17 +238,11 @@ def features(found: list[Block]) -> list[list[str]]:
     n = len(found)
     for i, b in enumerate(found):
         f = ["bias"]
-        tags, hints = set(), set()
-        for tag, hint in b.path:
-            tags.add(tag)
-            hints |= hint
-        f += ["in:" + t for t in sorted(tags.difference(("html", "body", "div")))]
-        f += ["hint:" + h for h in sorted(hints)]
-        f.append("tag:" + b.path[0][0] if b.path else "tag:none")
-        f += ["own:" + h for h in sorted(b.path[0][1])] if b.path else []
-        # the nearest element that says anything
-        near = next((t if t in ("nav", "aside", "footer", "header", "form", "article", "main") else min(h) for t, h in b.path if h or t in ("nav", "aside", "footer", "header", "form", "article", "main")), "none")
-        f.append("near:" + near)
+        f += ["in:" + t for t in sorted(b.path.tags.difference(("html", "body", "div")))]
+        f += ["hint:" + h for h in sorted(b.path.hints)]
+        f.append("tag:" + b.path.tag)
+        f += ["own:" + h for h in sorted(b.path.own)]
+        f.append("near:" + b.path.near)
         chars = len(b.text)
         words = b.text.count(" ") + 1
         f.append(f"words:{_grade(words, (2, 4, 8, 15, 30, 60))}")
@@ -230,7 +253,7 @@ def features(found: list[Block]) -> list[list[str]]:
         if _BOILER.search(b.text if chars < 400 else b.text[:200] + b.text[-200:]):
             f.append(f"speaks:{words < 40}")
         f.append(f"place:{_grade(i / n, (0.1, 0.5, 0.9))}")
-        if i and found[i - 1].path == b.path:
+        if i and found[i - 1].path is b.path:
             f.append("like-before")
         out.append(f)
     return out

@@ -63,6 +63,17 @@ def test_blocks_of_odd_pages():
     assert text("") == [] and text("<p>") == [] and text("<!--") == [] and text("<a href='x") == []
 
 
+def test_ancestors_at_any_depth():
+    for open_, close in (("<div>", "</div>"), ("<b>", "")):
+        page = open_ * 1000 + "<nav>menu</nav><article>some<div>text</div></article>" + close * 999 + "after<footer>foot</footer>"
+        found = pages.blocks(page)
+        assert [b.text for b in found] == ["menu", "some", "text", "after", "foot"]
+        menu, some, text, after, foot = map(set, pages.features(found))
+        assert {"in:nav", "near:nav"} <= menu and {"in:footer", "near:footer"} <= foot
+        assert {"in:article", "near:article", "tag:article"} <= some and {"in:article", "near:article", "tag:div"} <= text
+        assert "near:none" in after and not {"in:nav", "in:article", "in:footer"} & after
+
+
 def test_extraction_on_unseen_pages():
     crf = pages.train()
     right = wrong = 0
