@@ -250,7 +250,7 @@ def features(found: list[Block]) -> list[list[str]]:
         f.append(f"stops:{_grade(sum(b.text.count(c) for c in '.!?') / words, (0.01, 0.1, 0.3))}")
         f.append(f"upper:{b.text[0].isupper()}")
         f.append(f"ends:{b.text[-1] in '.!?:;…"'}")
-        if _BOILER.search(b.text if chars < 400 else b.text[:200] + b.text[-200:]):
+        if _BOILER.search(b.text):
             f.append(f"speaks:{words < 40}")
         f.append(f"place:{_grade(i / n, (0.1, 0.5, 0.9))}")
         if i and found[i - 1].path is b.path:

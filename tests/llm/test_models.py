@@ -74,6 +74,12 @@ def test_ancestors_at_any_depth():
         assert "near:none" in after and not {"in:nav", "in:article", "in:footer"} & after
 
 
+def test_telling_words_in_the_middle_of_a_long_block():
+    page = "<p>" + "some words " * 40 + "all rights reserved " + "more words " * 40 + "<p>" + "some words " * 80
+    notice, plain = map(set, pages.features(pages.blocks(page)))
+    assert "speaks:False" in notice and not {"speaks:False", "speaks:True"} & plain
+
+
 def test_extraction_on_unseen_pages():
     crf = pages.train()
     right = wrong = 0
