@@ -148,8 +148,8 @@ def advice(judged: DataFrame) -> DataFrame:
     tag = opening_tag(text)
     code = text.rlike(r"[;{}]\s*$|^\s*(?:if|for|while|return|import|def|let|const|var)\b.*[({;=]|^\s*\w+\s*\([^)]*\)\s*;?\s*$")
     trailing = F.regexp_extract(F.expr("substring(source, 1, cast(span_start AS int))"), r"([^\n]*)\z", 1).rlike(r"[^ \t\r\f]")
-    rest = F.expr("substring(source, cast(span_end AS int) + 1, 400)")
-    opens = rest.rlike(r"^\s*(?:pub|fn|def|class|function|func|struct|enum|interface|public|private|static|export|type|module|impl|trait)\b")
+    rest = F.expr("substring(source, cast(span_end AS int) + 1)")
+    opens = rest.rlike(r"\A\s*+(?:pub|fn|def|class|function|func|struct|enum|interface|public|private|static|export|type|module|impl|trait)\b")
     decision = (
         F.when(F.col("shape").isNotNull(), F.col("shape"))
         .when(F.col("kind").isin("doc-line", "doc-block", "license"), "gentler-policy")

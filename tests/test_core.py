@@ -218,6 +218,12 @@ def test_aggregates(spark, tmp_path):
     assert {tuple(r) for r in unused.collect()} == {("keep_regex", "zzz"), ("remove_regex", "qqq"), ("keep_kind", "license")}
 
 
+def test_advice_looks_past_any_blanks(spark):
+    text = "int a;\n// one\n" + " \n" * 300 + "struct b;\n// two\nint c;"
+    j = analyse.judge(sources(spark, ("f", text, "c")), Options(policy="all"))
+    assert {tuple(r) for r in analyse.advice(j).collect()} == {("document-item", 1, 1), ("among-statements", 1, 1)}
+
+
 def test_style(spark):
     df = spark.createDataFrame([("//x",), ("// x",), ("//-x",), ("#x  \n#y\t\r\n",)], "raw string")
     assert [r[0] for r in df.select(space_after_marker(F.col("raw"))).collect()] == ["// x", "// x", "//-x", "# x  \n#y\t\r\n"]
