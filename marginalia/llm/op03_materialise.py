@@ -5,15 +5,16 @@ cycle-walking gives each sequence's running number a global slot, so the trainin
 without a table. Range partitions of the slots write the shards: shard k holds the slots from k * shard_slots on, in order, each in a record
 of fixed stride, so a reader can start or go on at any slot by arithmetic, and reads sequentially from there.
 
-A record is little-endian: doc_id (8 bytes), number of the sequence in its document (4), ids in it (4), the ids (2 bytes each, 4 where the
-vocabulary needs it), and a line feed, since Spark's text writer writes it: so tasks commit through Hadoop's committer to any file system,
-a lost executor's work is done again, and no half shard is left.
+A record is little-endian: doc_id (8 bytes), number of the sequence in its document (4, the highest bit set where the doc_id is null), ids
+in it (4), the ids (2 bytes each, 4 where the vocabulary needs it), and a line feed, since Spark's text writer writes it: so tasks commit
+through Hadoop's committer to any file system, a lost executor's work is done again, and no half shard is left.
 
-Running numbers follow the input's partitions and the rows in them. One pass counts the sequences of each partition, the other writes; both
-read the same splits of the same files. What is counted is one number for each partition.
+Documents are encoded once. Each task of that pass writes its documents' ids to the shared folder with the running number of their first
+sequence in the task; what is counted is one number for each task. The second pass reads what was written, so the numbers hold however the
+input's rows were dealt and however often a task runs.
 
-Defined results: a null or empty text is one sequence with the end only; a null doc_id is written as -1; repeated rows are sequences of
-their own; extra columns are ignored; an empty table writes no shard.
+Defined results: a null or empty text is one sequence with the end only; a null doc_id stays null, negative ones are kept; repeated rows are
+sequences of their own; extra columns are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
-from marginalia.llm.op10_bpe import TOGETHER, bpe
-from marginalia.session import ship
+from marginalia.llm.op10_bpe import Spelling, bpe, edges, encoded, taken
+from marginalia.session import Scratch, ship
 
 LENGTH = 256
 SHARD_SLOTS = 32_768
@@ -77,7 +79,8 @@ class Layout:
         # one id more than the vocabulary has: the end
         self.kind = np.dtype("<u2") if vocabulary < 65_536 else np.dtype("<u4")
         self.end, self.length, self.shard_slots = vocabulary, length, shard_slots
-        self.record = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", self.kind, (length,)), ("lf", "u1")])
+        fields = [("doc_id", "<i8"), ("seq", "<u4"), ("n", "<i4"), ("ids", self.kind, (length,))]
+        self.body, self.record = np.dtype(fields), np.dtype([*fields, ("lf", "u1")])
 
     @property
     def stride(self) -> int:
@@ -88,10 +91,10 @@ class Layout:
         return slot // self.shard_slots, slot % self.shard_slots * self.stride
 
 
-def _encoded(texts: list[bytes | None], path: str, pattern: str) -> Iterator[list[list[int]]]:
-    coder = bpe(path, pattern)
-    for i, j in T.chunks(texts, TOGETHER):
-        yield [[x for p in parts for x in p[2]] for parts in coder.encode_texts([t.decode() if t else "" for t in texts[i:j]])]
+def _binary(records: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow column."""
+    size = records.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer(np.arange(0, (len(records) + 1) * size, size, dtype=np.int32)), pa.py_buffer(records.tobytes())])
 
 
 def write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, Layout]:
@@ -101,71 +104,86 @@ def write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
     layout = Layout(len(bpe(path, pattern).tokens), length, shard_slots)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, n = bpe(path, pattern), 0
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's ids as bytes, the end after them, with the number of its first sequence in this task."""
+        coder, at, part = bpe(path, pattern), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = T.blobs(batch.column(1))
-            for i, j in T.chunks(texts, TOGETHER):
-                for parts in coder.encode_texts([t.decode() if t else "" for t in texts[i:j]]):
-                    n += sum([p[0] for p in parts]) // length + 1
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["part", "n"])
-
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part long, n long").where("n > 0").collect()}
+            for lo, size, ids, n in encoded(batch, coder):
+                ends = np.cumsum(n)
+                held = edges((n + 1) * layout.kind.itemsize)
+                data = np.insert(ids.astype(layout.kind), ends, layout.end)
+                begin = at + edges(-(-(n + 1) // length))
+                at = int(begin[-1])
+                raw = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(held.astype(np.int32)), pa.py_buffer(data.tobytes())])
+                columns = [batch.column(0).slice(lo, size), pa.array(np.full(size, part)), pa.array(begin[:-1]), pa.array(np.diff(begin)), raw]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n", "ids"])
+
+    scratch = Scratch(spark, "sequences")
+    done = scratch.save(rows.mapInArrow(number, "doc_id long, part long, at long, n long, ids binary"), "ids")
     first, total = {}, 0
-    for p in sorted(counts):
-        first[p] = total
-        total += counts[p]
+    for r in sorted(done.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        first[r["part"]] = total
+        total += r["n"]
     if not total:
+        scratch.drop()
         return 0, layout
     order = Permutation(total, key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = first.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
-            ids, done = batch.column(0).to_pylist(), 0
-            for found in _encoded(T.blobs(batch.column(1)), path, pattern):
-                sizes = np.array([len(x) + 1 for x in found], np.int64)
-                pieces = -(-sizes // length)
-                begin = np.concatenate([[0], np.cumsum(pieces)])
-                out = np.zeros(int(begin[-1]), layout.record)
-                out["ids"], out["lf"] = layout.end, 10
-                flat = out["ids"].copy()
-                for k, x in enumerate(found):
-                    flat[begin[k] : begin[k + 1]].reshape(-1)[: len(x)] = x
-                out["ids"] = flat
-                owner = np.repeat(np.arange(len(found)), pieces)
-                out["seq"] = np.arange(len(out)) - begin[owner]
-                out["n"] = np.minimum(sizes[owner] - out["seq"].astype(np.int64) * length, length)
-                out["doc_id"] = np.array([-1 if i is None else i for i in ids[done : done + len(found)]], np.int64)[owner]
-                done += len(found)
-                slots = order.slots(np.arange(at, at + len(out)))
-                at += len(out)
-                raw, size = out.tobytes(), layout.stride
-                # the writer adds the line feed
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([raw[i : i + size - 1] for i in range(0, len(raw), size)], pa.binary())], ["slot", "record"])
+            sizes = batch.column(3).to_numpy()
+            for lo, hi in _ranges(sizes, 1 << 14):
+                some = batch.slice(lo, hi - lo)
+                pieces, owner = sizes[lo:hi], np.repeat(np.arange(hi - lo), sizes[lo:hi])
+                begin = edges(pieces)
+                out = np.zeros(int(begin[-1]), layout.body)
+                texts = some.column(4)
+                n = pa.compute.binary_length(texts).to_numpy().astype(np.int64) // layout.kind.itemsize
+                flat = np.full(len(out) * length, layout.end, layout.kind)
+                flat[taken(begin[:-1] * length, n)] = np.frombuffer(b"".join(texts.to_pylist()), layout.kind)
+                out["ids"] = flat.reshape(-1, length)
+                seq = np.arange(len(out)) - begin[owner]
+                ids = some.column(0)
+                out["seq"] = seq | np.where(ids.is_null().to_numpy(zero_copy_only=False), 1 << 31, 0)[owner]
+                out["n"] = np.minimum(n[owner] - seq * length, length)
+                out["doc_id"] = ids.fill_null(-1).to_numpy()[owner]
+                at = some.column(2).to_numpy() + np.array([first[p] for p in some.column(1).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(order.slots(at[owner] + seq)), _binary(out)], ["slot", "record"])
 
     shards = -(-total // shard_slots)
-    cells = rows.mapInArrow(cut, "slot long, record binary").withColumn("shard", (F.col("slot") / shard_slots).cast("int"))
+    cells = done.mapInArrow(cut, "slot long, record binary").withColumn("shard", (F.col("slot") / shard_slots).cast("int"))
     cells = cells.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
+    # the writer adds the line feed
     cells.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(out)
+    scratch.drop()
     return total, layout
 
 
+def _ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum up to about that; a larger one stands alone."""
+    held, lo = edges(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(held, held[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def index(spark, out: str, layout: Layout) -> DataFrame:
     """What the shards hold, read from their bytes: slot, shard, byte_offset, doc_id, seq, n_tokens, tokens_sha256 (of decimal ids joined by commas)."""
     ship(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = Spelling([b",%d" % i for i in range(layout.end + 1)])
         for batch in batches:
             for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if len(raw) % layout.stride:
                     raise ValueError(f"shard {shard} has a broken record")
                 r = np.frombuffer(raw, layout.record)
-                sha = [hashlib.sha256(",".join(map(str, ids[:n].tolist())).encode()).hexdigest() for ids, n in zip(r["ids"], r["n"], strict=True)]
+                n = r["n"].astype(np.int64)
+                sha = decimal.digests(r["ids"][np.arange(layout.length) < n[:, None]], n, 1)
                 at = np.arange(len(r), dtype=np.int64)
-                doc = [None if d < 0 else d for d in r["doc_id"].tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at + shard * layout.shard_slots), pa.array(np.full(len(r), shard, np.int32)), pa.array(at * layout.stride), pa.array(doc, pa.int64()), pa.array(r["seq"]), pa.array(r["n"]), pa.array(sha, pa.string())],
+                    [pa.array(at + shard * layout.shard_slots), pa.array(np.full(len(r), shard, np.int32)), pa.array(at * layout.stride), pa.array(r["doc_id"], mask=r["seq"] >> 31 == 1), pa.array((r["seq"] & 0x7FFFFFFF).astype(np.int32)), pa.array(r["n"]), pa.array(sha, pa.string())],
                     ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens_sha256"],
                 )
 

@@ -186,17 +186,24 @@ def test_shards_hold_the_ids(spark, tmp_path):
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rng = random.Random(6)
     texts = [None, "", "a"] + [" ".join(rng.choices(["alpha", "beta", "日本", "x\n"], k=rng.randint(1, 60))) for _ in range(80)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, slot string")
+    texts.append(" ".join(rng.choices(["gamma", "delta"], k=40_000)))  # a long one
+    renamed = dict(enumerate([None, -7, -1]))  # a null id and negative ones
+    rows = [(renamed.get(i, i), t, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string")
     total, layout = shards.write(df, path, tokenizers.PATTERN, str(tmp_path / "out"), key=9, length=16, shard_slots=32)
     rows = shards.index(spark, str(tmp_path / "out"), layout).collect()
     assert sorted(r["slot"] for r in rows) == list(range(total))
+    # slots follow the key: by number, sequences are as they were dealt to the tasks
+    order = shards.Permutation(total, 9)
+    by_number = sorted((int(order.numbers(np.array([r["slot"]]))[0]), r["doc_id"], r["seq"]) for r in rows)
+    assert all(seq == 0 or by_number[k - 1][1:] == (i, seq - 1) for k, (_, i, seq) in enumerate(by_number))
     coder = shards.bpe(path, tokenizers.PATTERN)
     peer = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(coder.tokens)}, special_tokens={})
     want = {}
     for i, t in enumerate(texts):
         ids = [*peer.encode_ordinary(t or ""), layout.end]
         for k in range(0, len(ids), 16):
-            want[i, k // 16] = hashlib.sha256(",".join(map(str, ids[k : k + 16])).encode()).hexdigest()
+            want[renamed.get(i, i), k // 16] = hashlib.sha256(",".join(map(str, ids[k : k + 16])).encode()).hexdigest()
     assert {(r["doc_id"], r["seq"]): r["tokens_sha256"] for r in rows} == want
     # a reader finds any slot by arithmetic
     r = rows[len(rows) // 2]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,11 +128,32 @@ def test_bpe_equals_tiktoken(name):
     bits = [" ", "  ", "\n", "\t", "a", "the", " the", "é", "ß", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'s", "'S", "123", "\u0661", "!!", "日本語", "😀", "\u200b", "aaaaaaaa", "\r\n", "<|endoftext|>", "\x00", "ﬁ", "²", "_", "-"]
     texts = [t or "" for t in ODD] + ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(400)]
     texts += ["ab" * 40_000 + "a" * 30_001, "é" * 20_000, "".join(rng.choices("abcdefgh", k=50_000))]
-    for text, parts in zip(texts, coder.encode_texts(texts), strict=True):
-        ids = [i for p in parts for i in p[2]]
-        assert ids == peer.encode_ordinary(text)
+    want = [peer.encode_ordinary(t) for t in texts]
+    for _ in range(2):  # new pieces, and remembered ones
+        ids, n = coder.encode_texts([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    coder.forget()
+    for text, ids in zip(texts, want, strict=True):
+        assert coder.encode(text) == ids
         assert coder.decode(ids) == text.encode()
-    assert [[i for p in x for i in p[2]] for x in coder.encode_texts(texts)] == [peer.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_pieces_with_one_hash(monkeypatch):
+    """Where two pieces have one hash the bytes tell them apart."""
+    coder = bpe.Bpe(bpe.load_ranks(TOKENIZERS.path("byte_bpe_50k.tiktoken")), TOKENIZERS.PATTERN)
+    texts = [b"some words and some more", b"others", None, b"", b"words and others"]
+    want = [x.tolist() for x in coder.encode_texts(texts)]
+    coder.forget()
+    monkeypatch.setattr(bpe.T, "hashes", lambda buf, begins, ends: (ends - begins).astype(np.uint64))
+    assert [x.tolist() for x in coder.encode_texts(texts)] == want
+
+
+def test_bpe_other_pattern():
+    """A pattern with matches over white space isn't cut before it."""
+    tokens = [bytes([b]) for b in range(256)] + [b"a b"[:2], b"b c"[1:]]
+    coder = bpe.Bpe(tokens, r"\w+ \w+|\s+(?!\S)|\s+|.")
+    assert bpe.fits(TOKENIZERS.PATTERN) and not coder.fits
+    assert coder.encode("a b c") == [256, 98, 32, 99]
 
 
 def test_bpe_round_trip(spark):
@@ -142,6 +164,7 @@ def test_bpe_round_trip(spark):
     for r in rows.where("doc_id IS NOT NULL").collect():
         assert r["decoded_sha256"] == hashlib.sha256((by_text[r["doc_id"]] or "").encode()).hexdigest()
     assert rows.count() == docs.count()
+    assert rows.where("false").count() == 0 and bpe.round_trip(docs.where("false"), path, TOKENIZERS.PATTERN).count() == 0
     assert bpe.encode(docs, path, TOKENIZERS.PATTERN).where(F.size("ids") == 0).count() == 2 + 1  # null (twice) and empty
 
 
