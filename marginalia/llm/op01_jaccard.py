@@ -4,40 +4,52 @@ A document's set holds its distinct word shingles. Two documents link when den *
 
 1. Points. Shingles are hashed into groups. The counts of the groups make a document's point; the overlap of two sets is at most
    the sum over coordinates of the smaller count. A point has about as many groups as its set has shingles (a power of two), which
-   keeps the bound tight at every size; folding halves brings two points to the same groups.
+   keeps the bound tight at every size; folding halves brings two points to the same groups. A count fills one byte; what goes beyond it
+   is summed up in one more coordinate, so the bound holds.
 2. Blocks, without cross joins and without loss. Two linked sets differ in at most k shingles, k following from the size band, so of
    k + 1 + e groups at least 1 + e hold exactly the same shingles in both. A document offers a signature for each of its groups that
    isn't empty; documents that share one are candidates. (A document with more than e empty groups also offers those, so the bound
    holds for it too.) A batch of documents reduces its own signatures first, so a group of copies that holds a third of all rows
    sends one record for each batch and signature; what crosses the network is packed records by bucket.
 3. Each signature yields a star: its documents with the least among them. Stars whose bound allows it are verified on the full sets
-   and give classes. Where documents of one candidate block stay in different classes, an R-tree over the block's points finds all
-   pairs of different classes whose bound allows a link, and these are verified too. Pairs inside a class need no test.
+   and give classes: a group of copies takes as many tests as it has members. Documents that stars connect are a block.
+4. The R-tree finds all other pairs of a block. A range partition by block, size and class, whose borders Spark fits on a bounded sample,
+   deals every point of a block with more than one class to leaves of at most LEAF points, in one order, so a leaf holds neighbours and no block is in one task. A leaf's box is
+   the largest coordinates in it; nodes of FAN leaves or nodes have boxes too. The tree is joined with itself from the root down: pairs
+   of nodes whose boxes allow a link are opened, all others left, so no pairs of leaves are listed beforehand. Pairs of leaves that are
+   left are searched, each leaf by a tree of its own, for pairs of different classes whose bound allows a link. Survivors are verified
+   on the full sets. Pairs inside a class need no test.
+
+In steps 3 and 4 points, sets and leaves go to the pairs by an equi-join on the one side and lead the other side's rows once for each
+task; a document that leads very many pairs is dealt over several tasks.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle has one, the
-whole sequence; equal sets form one class by a 128-bit key; repeated doc_id rows are one document's versions (the row with the larger set
-counts); extra columns are ignored; an empty table gives no rows.
+whole sequence; equal sets form one class by a 128-bit key and their size; repeated doc_id rows are one document's versions (the row with the
+larger set counts); rows without doc_id have no component (null) and link with nothing, one row each; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
-from marginalia.llm.graph import components
+from marginalia.llm.graph import components, copied, dealt, hot_join, hot_keys
 from marginalia.session import Scratch, input_partitions, ship, small_batches
 
 #: Groups of a point: the power of two from a set's size on, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 1 << 16
-TILE = 512
-#: Rows in Python at once.
+#: Points of a leaf, their bytes, children of a node, and the groups of a box.
+LEAF, LEAF_BYTES, FAN, BOX = 512, 2 << 20, 16, 512
+#: Rows in Python at once; batches also end at session.BATCH_BYTES.
 BATCH = 2000
 #: Ids that may be broadcast to filter the documents read again: 8 bytes each; more go by a shuffled semi-join.
 BROADCAST_IDS = 500_000
@@ -66,16 +78,19 @@ def shingles(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndar
 
 
 def point(keys: np.ndarray) -> bytes:
-    """The counts of a set's groups, two bytes each."""
+    """The counts of a set's groups, a byte each."""
     groups = min(max(LEAST_GROUPS, 1 << max(0, len(keys) - 1).bit_length()), MOST_GROUPS)
     counts = np.bincount((keys >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
-    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def folded(raw: bytes, groups: int) -> np.ndarray:
-    """The point with so many groups, at most its own number."""
-    p = np.frombuffer(raw, np.uint16)
-    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint32).clip(max=65_535).astype(np.uint16)
+def folded(raw: bytes, n: int, groups: int) -> np.ndarray:
+    """The point of a set of n shingles with so many groups, at most its own number, and after them what its bytes couldn't count."""
+    p = np.frombuffer(raw, np.uint8)
+    out = np.empty(groups + 1, np.uint32)
+    out[:groups] = p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint32)
+    out[groups] = n - int(out[:groups].sum())
+    return out
 
 
 class Bands:
@@ -161,7 +176,8 @@ def _batch(kind: int, size: int, **columns) -> pa.RecordBatch:
 def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows for documents; links within a batch; packed (signature, least id) records by bucket."""
     for batch in batches:
-        ids = np.asarray(batch.column(0).to_pylist(), np.int64) if batch.num_rows else np.empty(0, np.int64)
+        named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        ids = batch.column(0).fill_null(0).to_numpy()
         texts = T.blobs(batch.column(1))
         sigs, owners = [], []
         for i, j in T.chunks(texts, T.CHUNK // 2):
@@ -175,11 +191,13 @@ def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets
                 hi, lo = T.mix(hi[begin[1:]] - hi[begin[:-1]]), T.mix(lo[begin[1:]] - lo[begin[:-1]])
             points = [point(keys[begin[k] : begin[k + 1]]) for k in range(m)]
             own = ids[i:j]
-            yield _batch(DOC, m, bucket=own % buckets, a=own, n=n, hi=hi.view(np.int64), lo=lo.view(np.int64), data=points)
+            shown = pa.array(own, mask=~named[i:j])
+            yield _batch(DOC, m, bucket=own % buckets, a=shown, n=n, hi=hi.view(np.int64), lo=lo.view(np.int64), data=points)
             # of equal sets in the chunk, one offers signatures; classes of equal sets come from hi and lo
             key = np.stack([hi, lo, n.astype(np.uint64)], 1)
-            _, one = np.unique(key[np.argsort(own, kind="stable")], axis=0, return_index=True)
-            one = np.argsort(own, kind="stable")[one]
+            order = np.argsort(own, kind="stable")
+            order = order[named[i:j][order]]
+            one = order[np.unique(key[order], axis=0, return_index=True)[1]]
             picked = np.zeros(m, bool)
             picked[one] = True
             sel = picked[docs]
@@ -258,32 +276,145 @@ class RTree:
         return self.order[at]
 
 
-def _tile(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """The pairs of different classes between (or within) the two sides of a tile whose bound allows a link."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    within = not len(right) and bool(pdf["own"].iloc[0])
-    right = left if within else right
-    out: list[tuple[int, int]] = []
-    if len(left) and len(right):
-        groups = min(len(x) for x in pdf["data"]) // 2
-        unpack = lambda rows: np.stack([folded(x, groups) for x in rows])
-        tree = RTree(unpack(right["data"]), right["n"].to_numpy())
-        rid, rclass = right["id"].to_numpy(), right["klass"].to_numpy()
-        for point, n, i, k in zip(unpack(left["data"]), left["n"].to_numpy(), left["id"].to_numpy(), left["klass"].to_numpy(), strict=True):
-            hit = tree.search(point, int(n), num, den)
-            hit = hit[rclass[hit] != k]
-            if within:
-                hit = hit[rid[hit] > i]
-            out += [(int(i), int(j)) for j in rid[hit]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+# ---- leaves and boxes -----------------------------------------------------------------------------------------------------------------
+
+
+class Leaf:
+    """Points of one block: ids, sizes, classes and the packed points."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, klass: np.ndarray, points: list[bytes]):
+        self.ids, self.n, self.klass, self.points = ids, n, klass, points
+        self.groups = min(map(len, points))
+
+    def pack(self) -> bytes:
+        parts = (np.array([len(self.ids)]), self.ids, self.n, self.klass, np.array([len(p) for p in self.points]))
+        return b"".join([np.concatenate(parts).astype(np.int64).tobytes(), *self.points])
+
+    @staticmethod
+    def unpack(raw: bytes) -> Leaf:
+        k = int(np.frombuffer(raw, np.int64, 1)[0])
+        ids, n, klass, size = np.frombuffer(raw, np.int64, 4 * k, 8).reshape(4, k)
+        ends = 8 + 32 * k + np.cumsum(size)
+        return Leaf(ids, n, klass, [raw[b - a : b] for a, b in zip(size.tolist(), ends.tolist(), strict=True)])
+
+    def folded(self, groups: int) -> np.ndarray:
+        return np.stack([folded(p, n, groups) for p, n in zip(self.points, self.n.tolist(), strict=True)])
+
+    def box(self) -> bytes:
+        return self.folded(min(self.groups, BOX)).max(0).tobytes()
+
+
+def _narrow(box: np.ndarray, groups: int) -> np.ndarray:
+    """A box with fewer groups: sums of largest coordinates bound the sums' largest."""
+    return np.append(box[:-1].reshape(-1, groups).sum(0, dtype=np.uint32), box[-1]) if len(box) > groups + 1 else box
+
+
+def _over(boxes: list[bytes]) -> bytes:
+    """The box around boxes."""
+    every = [np.frombuffer(b, np.uint32) for b in boxes]
+    groups = min(map(len, every)) - 1
+    return np.max([_narrow(b, groups) for b in every], axis=0).tobytes()
+
+
+_NODE = "block long, i long, low long, high long, least long, most long, box binary"
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (block, klass, id, n, data) as leaves: part, at (their order), block, least and greatest size and class, points, box, body."""
+    part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+    def leaf() -> pa.RecordBatch:
+        block, klass, ids, n, points = zip(*held, strict=True)
+        made = Leaf(np.array(ids), np.array(n), np.array(klass), list(points))
+        values = [part, at, block[0], min(n), max(n), min(klass), max(klass), made.box(), made.pack()]
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["part", "at", "block", "low", "high", "least", "most", "box", "body"])
 
-#: Bytes of a shingle's hash that a set keeps while two sets are compared.
-KEY_BYTES = 6
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if held and (held[0][0] != row[0] or len(held) == LEAF or size > LEAF_BYTES):
+                yield leaf()
+                at, held, size = at + 1, [], 0
+            held.append(row)
+            size += len(row[4])
+    if held:
+        yield leaf()
+
+
+def _touching(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows (block, i, j, least size of i, of j, boxes) where a point of the one node can link with one of the other."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            groups = min(len(x), len(y)) - 1
+            keep.append((den + num) * int(np.minimum(_narrow(x, groups), _narrow(y, groups)).sum(dtype=np.int64)) >= num * (n + m))
+        yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+
+def _leaf_pairs(leaves: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of leaves of one block, a leaf with itself included, that can hold a link between classes. leaves has an id."""
+    alone = leaves.groupBy("block").agg(F.count("*").alias("c"))
+    before = leaves.groupBy("block", "part").agg(F.count("*").alias("c"))  # a row for each task that has part of the block
+    before = before.select("block", "part", (F.sum("c").over(Window.partitionBy("block").orderBy("part")) - F.col("c")).alias("before"))
+    first = leaves.groupBy("block", "part").agg(F.min("at").alias("first"))
+    nodes = leaves.join(alone.where("c > 1").select("block"), "block", "left_semi").join(before, ["block", "part"]).join(first, ["block", "part"])
+    nodes = nodes.select("block", (F.col("before") + F.col("at") - F.col("first")).alias("i"), "low", "high", "least", "most", "box", "id")
+    bottom = scratch.save(nodes, "nodes-0")
+    levels = [bottom.drop("id")]
+    while (levels[-1].agg(F.max("i")).first()[0] or 0) > 0:
+        up = levels[-1].groupBy("block", F.shiftright("i", int(math.log2(FAN))).alias("i"))
+        up = up.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("box").alias("boxes"))
+
+        def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([_over(b) for b in batch.columns[-1].to_pylist()], pa.binary())], [*batch.schema.names[:-1], "box"])
+
+        levels.append(scratch.save(up.mapInArrow(around, _NODE), f"nodes-{len(levels)}"))
+    pairs = levels[-1].select("block", "i", F.col("i").alias("j"))
+    for depth in range(len(levels) - 2, -1, -1):
+        kids = lambda x: F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda k: F.col(x) * FAN + k)
+        opened = pairs.select("block", F.explode(kids("i")).alias("i"), "j").select("block", "i", F.explode(kids("j")).alias("j")).where("i <= j")
+        side = lambda k, x: levels[depth].select("block", F.col("i").alias(k), *(F.col(c).alias(c + x) for c in ("low", "high", "least", "most", "box")))  # noqa: E731, B023
+        met = opened.join(side("i", "_x"), ["block", "i"]).join(side("j", "_y"), ["block", "j"])
+        met = met.where((F.col("low_x") * num <= F.col("high_y") * den) & (F.col("low_y") * num <= F.col("high_x") * den))
+        met = met.where("least_x != most_x OR least_y != most_y OR least_x != least_y")  # all of one class needs no test
+        met = met.select("block", "i", "j", "low_x", "low_y", "box_x", "box_y").mapInArrow(lambda it: _touching(it, num, den), "block long, i long, j long")
+        pairs = scratch.save(met, f"pairs-{depth}")
+    name = lambda k, a: bottom.select("block", F.col("i").alias(k), F.col("id").alias(a))
+    within = leaves.join(alone.where("c = 1").select("block"), "block", "left_semi").where("least != most").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return pairs.join(name("i", "a"), ["block", "i"]).join(name("j", "b"), ["block", "j"]).select("a", "b").union(within)
+
+
+# ---- tests of pairs -------------------------------------------------------------------------------------------------------------------
+
+
+def _tested(pairs: DataFrame, data: DataFrame, read: Callable, test: Callable, parts: int) -> DataFrame:
+    """The pairs (a, b) that `test` gives for the pairs (a, b) of a saved table, whose ids data (id, n, data) explains.
+
+    b's data go to the pairs by a join; a's data lead the rows of a once in each task. A hot a is dealt over several tasks."""
+    hot = hot_keys(pairs.select("a"), ["a"])
+    right = dealt(pairs.select("a", "b"), ["a"], hot).join(data.withColumnRenamed("id", "b"), "b").select("a", "_salt", "b", "n", "data")
+    left = copied(data.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "a"), ["a"], hot)
+    left = left.select("a", "_salt", F.lit(None).cast("long").alias("b"), "n", "data")
+    rows = left.union(right).repartition(parts, "a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, b, n, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if b is None:
+                    lead = read(n, raw)
+                else:
+                    out += test(a, lead, b, read(n, raw))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, keys): the sets of the documents with these ids, from their whole texts, as sorted packed hashes."""
+    """(id, n, data): the sets of the documents with these ids, from their whole texts, as sorted hashes."""
     few = ids.count() <= BROADCAST_IDS  # 8 bytes each, so at most 4 MB
     some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -293,55 +424,29 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             for i, j in T.chunks(texts, T.CHUNK // 2):
                 owner, keys = shingles(texts[i:j], width)
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
-                raw = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-                packed = [raw[KEY_BYTES * a : KEY_BYTES * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["doc_id", "keys"])
+                raw = keys.tobytes()
+                packed = [raw[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(cuts)), pa.array(packed, pa.binary())], ["id", "n", "data"])
 
-    return some.mapInArrow(build, "doc_id long, keys binary")
-
-
-def _same(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The rows (a, b, keys of a, keys of b) whose sets are similar enough."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            union = len(np.unique(_widened(x + y)))
-            both = (len(x) + len(y)) // KEY_BYTES - union
-            keep.append(den * both >= num * union)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return some.mapInArrow(build, "id long, n long, data binary")
 
 
-def _widened(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    wide[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
-    return wide.view(np.uint64).ravel()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets. The side with fewer documents is sent to the pairs last, so each set crosses the network about once."""
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link, by their full sets."""
     pairs = scratch.save(pairs, f"{name}-pairs")
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
-    sets = scratch.save(_sets(docs, ids, width), f"{name}-sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("y"))
-    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    out = scratch.save(both.mapInArrow(lambda it: _same(it, num, den), "a long, b long"), f"{name}-links")
+    sets = scratch.save(_sets(docs, ids, width).groupBy("id").agg(F.max(F.struct("n", "data")).alias("x")).select("id", "x.*"), f"{name}-sets")
+
+    def same(a: int, x: np.ndarray, b: int, y: np.ndarray) -> list[tuple[int, int]]:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return [(a, b)] if den * both >= num * (len(x) + len(y) - both) else []
+
+    out = scratch.save(_tested(pairs, sets, lambda n, raw: np.frombuffer(raw, np.uint64), same, parts), f"{name}-links")
     for x in ("pairs", "sets", "ids"):
         scratch.drop(f"{name}-{x}")
     return out
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The rows (a, b, n, m, point of a, point of b) whose bound allows a link."""
-    for batch in batches:
-        keep = []
-        for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-            groups = min(len(x), len(y)) // 2
-            least = int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64))
-            keep.append((den + num) * least >= num * (n + m) and n * num <= m * den and m * num <= n * den)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included)."""
     with small_batches(docs.sparkSession, BATCH):
@@ -352,56 +457,66 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     spark = docs.sparkSession
     ship(spark)
     scratch, bands = Scratch(spark, "jaccard"), Bands(num, den)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
-    parts = input_partitions(docs)
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    parts = input_partitions(docs, 16 << 20)
     buckets = 8 * parts
     mapped = docs.mapInArrow(lambda it: _mapped(it, width, bands, buckets), _MAPPED_DDL)
     base = scratch.save(mapped.repartition(parts, "bucket").mapInArrow(_reduced, _MAPPED_DDL), "base")
-    info = base.where(F.col("kind") == DOC).groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", "hi", "lo", "data")).alias("x")).select("id", "x.*")
-    info = scratch.save(info, "info")
+    info = base.where((F.col("kind") == DOC) & F.col("a").isNotNull()).select(F.col("a").alias("id"), "n", "hi", "lo", "data")
+    twice = scratch.save(info.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "twice")
+    if twice.limit(1).count():
+        one = info.join(twice, "id", "left_semi").groupBy("id").agg(F.max(F.struct("n", "hi", "lo", "data")).alias("x")).select("id", "x.*")
+        info = scratch.save(info.join(twice, "id", "left_anti").union(one), "info")
     # classes of equal sets
-    first = info.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"))
-    rep = scratch.save(info.where("n > 0").select("id", "n", "hi", "lo").join(first, ["n", "hi", "lo"]).select("id", "rep"), "rep")
-    # candidates between classes
-    link = base.where(F.col("kind") == LINK).select("a", "b").distinct()
-    link = link.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    link = scratch.save(link.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "candidates")
-    scratch.drop("base")
-    point = info.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "data")
-    bounded = link.join(point.select(F.col("id").alias("a"), "n", F.col("data").alias("x")), "a").join(point.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("data").alias("y")), "b")
-    bounded = bounded.select("a", "b", "n", "m", "x", "y").mapInArrow(lambda it: _bounded(it, num, den), "a long, b long")
-    links = _verified(bounded, docs, width, num, den, scratch, "star")
+    known = info.where("n > 0").select("id", "n", "hi", "lo")
+    first = known.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"))
+    rep = scratch.save(hot_join(known, first, ["n", "hi", "lo"]).select("id", "rep", "n"), "rep")
+    # candidates between classes: all, which make the blocks, and those whose sizes allow a link
+    link = scratch.save(base.where(F.col("kind") == LINK).select("a", "b").distinct(), "raw")
+    named = lambda k, m: rep.select(F.col("id").alias(k), F.col("rep").alias("r" + k), F.col("n").alias(m))
+    link = hot_join(link, named("a", "n"), ["a"]).join(named("b", "m"), "b").where("ra != rb")
+    less = F.col("ra") < F.col("rb")
+    link = link.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.when(less, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(less, F.col("m")).otherwise(F.col("n")).alias("m"))
+    link = scratch.save(link.distinct(), "candidates")
+    star = link.where((F.col("n") * num <= F.col("m") * den) & (F.col("m") * num <= F.col("n") * den))
+    points = scratch.save(info.join(rep.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "data"), "points")
+
+    def bound(a: int, x: tuple[int, bytes], b: int, y: tuple[int, bytes]) -> list[tuple[int, int]]:
+        groups = min(len(x[1]), len(y[1]))
+        least = int(np.minimum(folded(x[1], x[0], groups), folded(y[1], y[0], groups)).sum(dtype=np.int64))
+        return [(a, b)] if (den + num) * least >= num * (x[0] + y[0]) else []
+
+    links = _verified(_tested(star, points, lambda n, raw: (n, raw), bound, parts), docs, width, num, den, parts, scratch, "star")
     klass = components(links, scratch, "class")
     block = components(link, scratch, "block")
-    # blocks whose documents are in more than one class
-    member = block.join(klass.withColumnRenamed("component", "klass"), "id", "left").select("id", F.col("component").alias("block"), F.coalesce("klass", "id").alias("klass"))
-    # (the least and the greatest class differ; pre-aggregated, so no count of distinct values meets in one task)
+    # blocks whose documents are in more than one class (the least and the greatest class differ: pre-aggregated, so no hot task)
+    member = scratch.save(block.join(klass.withColumnRenamed("component", "klass"), "id", "left").select("id", F.col("component").alias("block"), F.coalesce("klass", "id").alias("klass")), "members")
     split = member.groupBy("block").agg(F.min("klass").alias("low"), F.max("klass").alias("high")).where("low != high").select("block")
-    points = scratch.save(member.join(split, "block", "left_semi").join(point, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long")), "points")
-    tiles = points.groupBy("block", "size").agg(F.count("*").alias("c")).select("block", "size", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    tiles = scratch.save(tiles, "tiles")
-    placed = points.join(tiles, ["block", "size"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    below = tiles.select("block", (F.col("size") + 1).alias("size"), F.col("tiles").alias("tiles_below"))
-    above = tiles.select("block", (F.col("size") - 1).alias("size"), F.col("tiles").alias("tiles_above"))
-    placed = placed.join(below, ["block", "size"], "left").join(above, ["block", "size"], "left")
-    cell = lambda left, right, side, own: F.struct(left.alias("left"), right.alias("right"), F.lit(side).alias("side"), F.lit(own).alias("own"))
-    upto = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(0)) - 1)
-    mine, none = F.col("mine"), F.array().cast("array<struct<left:int,right:int,side:int,own:boolean>>")
-    cells = F.concat(
-        F.transform(F.filter(upto(F.col("tiles")), lambda i: i >= mine), lambda i: cell(mine, i, 0, True)),
-        F.transform(F.filter(upto(F.col("tiles")), lambda i: i < mine), lambda i: cell(i, mine, 1, True)),
-        F.when(F.col("tiles_above") > 0, F.transform(upto(F.col("tiles_above")), lambda i: cell(mine, i, 0, False))).otherwise(none),
-    )
-    lower = F.when(F.col("tiles_below") > 0, F.transform(upto(F.col("tiles_below")), lambda i: cell(i, mine, 1, False))).otherwise(none)
-    keep = ["id", "n", "klass", "data", "block"]
-    spread = placed.select(*keep, F.col("size").alias("low"), F.explode(cells).alias("c")).union(placed.select(*keep, (F.col("size") - 1).alias("low"), F.explode(lower).alias("c"))).select(*keep, "low", "c.*")
-    spread = spread.repartition(4 * parts, "block", "low", "own", "left", "right")  # the tiles' work isn't told by their bytes
-    more = spread.groupBy("block", "low", "own", "left", "right").applyInPandas(lambda pdf: _tile(pdf, num, den), "a long, b long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(link, ["a", "b"], "left_anti")
-    rest = _verified(more, docs, width, num, den, scratch, "rest")
+    rows = hot_join(member, split, ["block"]).join(points, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long"))
+    rows = scratch.save(rows, "rows").repartitionByRange(parts, "block", "size", "klass", "id").sortWithinPartitions("block", "size", "klass", "id")
+    packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(_leaves, "part long, at long, block long, low long, high long, least long, most long, box binary, body binary")
+    leaves = scratch.save(packed.withColumn("id", F.shiftleft("part", 40) + F.col("at")), "leaves")
+    met = scratch.save(_leaf_pairs(leaves.drop("body"), num, den, scratch), "met")
+
+    def search(a: int, x: Leaf, b: int, y: Leaf) -> list[tuple[int, int]]:
+        groups, out = min(x.groups, y.groups), []
+        tree = RTree(y.folded(groups), y.n)
+        for p, n, i, k in zip(x.folded(groups), x.n.tolist(), x.ids.tolist(), x.klass.tolist(), strict=True):
+            hit = tree.search(p, n, num, den)
+            hit = hit[y.klass[hit] != k]
+            out += [(min(i, j), max(i, j)) for j in y.ids[hit].tolist() if a != b or i < j]
+        return out
+
+    bodies = leaves.select("id", F.lit(0).cast("long").alias("n"), F.col("body").alias("data"))
+    with small_batches(spark, 16):  # leaves are large
+        more = scratch.save(_tested(met, bodies, lambda n, raw: Leaf.unpack(raw), search, 4 * parts), "more")
+    rest = _verified(more.distinct().join(link, ["a", "b"], "left_anti"), docs, width, num, den, parts, scratch, "rest")
     final = components(links.union(rest), scratch, "final")
-    out = info.select("id", "n").join(rep, "id", "left").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    out = scratch.save(info.select("id", "n").join(rep.select("id", "rep"), "id", "left"), "reps")
+    out = hot_join(out, final.select(F.col("id").alias("rep"), "component"), ["rep"], "left")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    nameless = base.where((F.col("kind") == DOC) & F.col("a").isNull()).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return scratch.keep(out.union(nameless), "result")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

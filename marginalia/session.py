@@ -47,15 +47,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.names: set[str] = set()
         self.root = f"{shared_dir(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Save the result and remove all other tables."""
+        out = self.save(df, name)
+        for other in self.names - {name}:
+            self.drop(other)
+        return out
+
     def drop(self, name: str = "") -> None:
         """Remove one table, or all of them."""
         jvm = self.spark.sparkContext._jvm
@@ -64,16 +73,23 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes that small batches send to Python at once, about.
+BATCH_BYTES = 8 << 20
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
-    """Within this, what is run sends at most so many rows to Python at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    """Within this, what is run sends at most so many rows to Python at once, and a batch ends when it holds BATCH_BYTES."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    old = {name: spark.conf.get(name) for name in limits}
+    for name, most in limits.items():
+        now = int(old[name].removesuffix("b"))
+        spark.conf.set(name, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 def input_partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:

@@ -66,7 +66,7 @@ def test_classes_equal_brute_force(spark, width, num, den):
 
 def test_join_of_nothing_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
-    assert {tuple(r) for r in jaccard.join(df, 4, 85, 100).collect()} == {(1, 3, 1), (2, 3, 1)}
+    assert {tuple(r) for r in jaccard.join(df, 4, 85, 100).collect()} == {(1, 3, 1), (2, 3, 1), (None, 3, None)}
     assert jaccard.join(df.where("false"), 4, 85, 100).count() == 0
     assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(df, 4, 85, 100).collect()) == ["1", "1", "None"]
 
@@ -83,6 +83,56 @@ def test_rtree_finds_all():
         assert set(tree.search(points[i], int(sizes[i]), 85, 100).tolist()) == want
 
 
+def test_boxes_bound_their_leaves():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
+    sets[7] = np.unique(np.concatenate([np.arange(3000, dtype=np.uint64), sets[7]]))  # more in a group than a byte counts
+    points = [jaccard.point(x) for x in sets]
+    leaf = jaccard.Leaf(np.arange(40), np.array([len(x) for x in sets]), np.arange(40) % 3, points)
+    again = jaccard.Leaf.unpack(leaf.pack())
+    assert again.points == points and again.klass.tolist() == leaf.klass.tolist() and again.n.tolist() == leaf.n.tolist()
+    halves = [jaccard.Leaf(leaf.ids[k::2], leaf.n[k::2], leaf.klass[k::2], points[k::2]) for k in (0, 1)]
+    box = np.frombuffer(jaccard._over([h.box() for h in halves]), np.uint32)
+    for x, p in zip(sets, points, strict=True):
+        assert jaccard.folded(p, len(x), 64).sum() == len(x)
+        assert (jaccard.folded(p, len(x), len(box) - 1) <= box).all()
+        for y, q in zip(sets, points, strict=True):
+            groups = min(len(p), len(q))
+            least = np.minimum(jaccard.folded(p, len(x), groups), jaccard.folded(q, len(y), groups)).sum()
+            assert least >= len(np.intersect1d(x, y))
+
+
+def test_chained_block_of_many_documents(spark, monkeypatch):
+    """More than 2,000 documents, each like the one before it and the first unlike the last, in one block over many leaves."""
+    monkeypatch.setattr(jaccard, "LEAF", 40)
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(900)]
+    texts, now = [], rng.choices(words, k=60)
+    for _ in range(2100):
+        now = list(now)
+        if rng.random() < 0.8:
+            now[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(now))
+    order = list(range(2100))
+    rng.shuffle(order)
+    docs = [(i, texts[k]) for i, k in enumerate(order)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), 3, 90, 100).collect()}
+    assert got == plain_classes(docs, 3, 90, 100)
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    from marginalia.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 10)
+    big = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 60)], "k long, v long")
+    small = spark.createDataFrame([(k, -k) for k in range(50)], "k long, w long")
+    hot = graph.hot_keys(big, ["k"])
+    assert [r["k"] for r in hot.collect()] == [1]
+    assert graph.dealt(big, ["k"], hot).where("k = 1").select("_salt").distinct().count() > 20
+    for how in ("inner", "left"):
+        assert sorted(map(str, graph.hot_join(big, small, ["k"], how).select("k", "v", "w").collect())) == sorted(map(str, big.join(small, ["k"], how).select("k", "v", "w").collect()))
+
+
 def test_bands_never_lose_a_pair():
     bands = jaccard.Bands(85, 100)
     for a in range(1, 400):
