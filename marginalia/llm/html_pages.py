@@ -37,7 +37,7 @@ class _Page:
     def sentence(self) -> str:
         text = self.phrase(self.r.randint(1, 18)).capitalize()
         if self.r.random() < 0.1:
-            text = text.replace(" ", self.r.choice((" &amp; ", ", ", " <b>x</b> ", " &lt;", "&nbsp;", " %%% ", "!! ")), 1)
+            text = text.replace(" ", self.r.choice((" &amp; ", ", ", " <b>x</b> ", " &lt;", "&nbsp;", " &ndash; ", "; ", " (x) ")), 1)
         return text + self.r.choice(("." * 6) + "!?")
 
     def prose(self, low: int = 1, high: int = 7) -> str:
@@ -74,7 +74,7 @@ class _Page:
 
     def foot(self) -> str:
         tag = self.r.choice(("footer", "footer", "div"))
-        inner = self.r.choice((f"&copy; {self.r.randint(1999, 2024)} {self.phrase(2)}. All rights reserved.", f"&copy; m.{self.word()}.example.net &middot; {self.prose(1, 2)}", f"<p>{self.prose(1, 2)}</p>{self.links(3)}", self.prose(1, 2)))
+        inner = self.r.choice((f"&copy; {self.r.randint(1999, 2024)} {self.phrase(2)}. All rights reserved.", f"&copy; {self.phrase(1)} &middot; Imprint &middot; {self.prose(1, 2)}", f"<p>{self.prose(1, 2)}</p>{self.links(3)}", self.prose(1, 2)))
         return self.wrap(tag, self.name("foot") if tag == "div" or self.r.random() < 0.2 else "", inner, 0)
 
     def ad(self) -> str:

@@ -6,6 +6,9 @@ at) and of its text; a chain of two labels, main text or not, is scored by these
 gradient ascent on the likelihood of labelled pages (html_pages.py makes them from page plans with a fixed seed), and the best
 chain is found by Viterbi.
 
+Text in objects, canvases, media, formulas, drawings and noscript is text of the page like any other. A button or select that isn't closed ends
+where a block element begins or an outer one ends. Labels are read from training pages only; a page's own attributes never are.
+
 Defined results: a null or empty page, and one without main text, gives an empty text; unclosed, unmatched and unknown tags, and
 entities that aren't closed, are read as browsers do as far as text goes; pages are taken whole; repeated rows give repeated rows; extra columns
 are ignored.
@@ -32,11 +35,17 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?\Z", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-OPAQUE = frozenset("script style template iframe object svg math canvas noscript head title select textarea button datalist audio video".split())
-_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in OPAQUE}
+#: Elements that hold raw text up to their end tag, or the page's end; those that hold controls; and what isn't shown.
+RAW = frozenset("script style iframe title textarea".split())
+CONTROL = frozenset("select button datalist".split())
+OPAQUE = RAW | CONTROL | {"template", "head"}
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in OPAQUE - CONTROL}
+_OUTER = "article aside blockquote body div dl footer form h[1-6] header html li main nav ol p section table td th tr ul"
+_CLOSE |= {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|(?=<(?:{t}|{_OUTER.replace(' ', '|')})[\s/>])|(?=</(?:{_OUTER.replace(' ', '|')})[\s/>])", re.I) for t in CONTROL}
+# the head ends where its end tag or the body is
+_CLOSE["head"] = re.compile(r"</head(?=[\s/>])[^>]*>?|(?=<body[\s>])", re.I)
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: A start tag of the key closes an open element of the values, unless one of the barriers is nearer.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -105,7 +114,7 @@ def _hints(names: str) -> frozenset[str]:
     return _named[names]
 
 
-def _attributes(text: str) -> tuple[str, int | None, bool]:
+def _attributes(text: str, labelled: bool) -> tuple[str, int | None, bool]:
     """(names of class and id, label of a training page, is it hidden)"""
     names, label, hidden = "", None, False
     if "=" in text or "hidden" in text:
@@ -113,15 +122,15 @@ def _attributes(text: str) -> tuple[str, int | None, bool]:
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
                 names += " " + value
-            elif name == "data-label":
+            elif labelled and name == "data-label":
                 label = int(value)
             elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value == "true":
                 hidden = True
     return names, label, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
+def blocks(page: str, labelled: bool = False) -> list[Block]:
+    """The leaf blocks of a page in order; with their labels if it's one of the training pages."""
     none: frozenset[str] = frozenset()
     stack = [_Element("html", Path("html", none, frozenset(("html",)), none, "none"), None)]
     paths: dict[tuple[int, str, frozenset[str]], Path] = {}
@@ -184,7 +193,7 @@ def blocks(page: str) -> list[Block]:
             loose = _LOOSE.match(token)
             if not loose:
                 if token.startswith("<![CDATA["):
-                    parts.append(token[9:-3])
+                    parts.append(token[9:].removesuffix("]]>"))
                 continue
             slash, tag, rest = loose.groups()
         tag = tag.lower()
@@ -198,13 +207,8 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in OPAQUE:
-            if not rest.endswith("/") or tag not in ("svg", "math"):
-                if tag == "head":
-                    # the head ends where its end tag or the body is
-                    end = re.compile(r"</head(?=[\s/>])[^>]*>?|(?=<body[\s>])", re.I).search(page, at)
-                else:
-                    end = _CLOSE[tag].search(page, at)
-                at = end.end() if end else size if tag != "head" else at
+            end = _CLOSE[tag].search(page, at)
+            at = end.end() if end else size if tag in RAW else at
             continue
         if tag in ("br", "wbr", "img"):
             parts.append(" " if tag == "br" else "")
@@ -222,7 +226,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
-        names, label, hidden = _attributes(rest)
+        names, label, hidden = _attributes(rest, labelled)
         push(tag, _hints(names) if names else none, label, hidden)
     flush()
     return out
@@ -349,7 +353,7 @@ def train(count: int = 400, seed: int = 11) -> Crf:
 
         pages = []
         for page in labelled_pages(count, seed):
-            found = blocks(page)
+            found = blocks(page, labelled=True)
             if found:
                 pages.append((features(found), [b.label or 0 for b in found]))
         crf = Crf(sorted({f for rows, _ in pages for fs in rows for f in fs}))

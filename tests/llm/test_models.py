@@ -84,7 +84,7 @@ def test_extraction_on_unseen_pages():
     crf = pages.train()
     right = wrong = 0
     for page in labelled_pages(150, seed=99):
-        found = pages.blocks(page)
+        found = pages.blocks(page, labelled=True)
         guess = crf.viterbi(crf.emissions(pages.features(found)))
         for b, y in zip(found, guess, strict=True):
             right += y == b.label
@@ -115,6 +115,23 @@ def test_extract_table(spark):
     assert pages.extract(df.where("false")).count() == 0
 
 
+def test_pages_that_training_never_saw():
+    text = lambda page: pages.main_text(page, pages.train())
+    first, second = "The first paragraph says one thing. It goes on.", "The second paragraph says another thing. It goes on too."
+    around = "<html><body><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>%s</p>%s<p>%s</p></article><footer>&copy; us</footer></body></html>"
+    want = f"Title\n\n{first}\n\n{second}"
+    for between in ("", "<button>Share", "<select><option>One<option>Two", "<div data-label='Price'></div>", "<td data-label=Price>", "<svg>", "<object>", "<template>", "<button>A</button><button>B</button>", "<script>if (a < b) { x('</p>') }</script>"):
+        assert text(around % (first, between, second)) == want, between
+    # the labels of training pages mean nothing elsewhere
+    assert text(around.replace("<article>", "<article data-label=0>") % (first, "", second)) == want
+    assert "<b>" in [b.text for b in pages.blocks("<p><![CDATA[<b>")] and [b.text for b in pages.blocks("<p><![CDATA[<b>]]>x")] == ["<b>x"]
+    assert first in text(around % (first, f"<noscript><p>{second}</p></noscript>", second))
+    # elements at any depth
+    deep = "<div>" * 1000 + around[12:-14] % (first, "", second) + "</div>" * 1000
+    assert text(f"<html><body>{deep}</body></html>") == want
+    assert text(around % (first * 2000, "", second)) == f"Title\n\n{first * 2000}\n\n{second}"
+
+
 def test_gradients_are_right():
     shape = lm.Shape(np.array([50.0, 20, 10, 5, 3, 1]))
     gru = lm.Gru(shape)
