@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.session import Scratch
 
 #: At most so many keys are hot at once, and no key with fewer rows is.
-HOT_KEYS, HOT_ROWS = 200, 1000
+HOT_KEYS, HOT_ROWS = 200, 200
 
 
 def hot_keys(big: DataFrame, on: list[str]) -> DataFrame | None:
@@ -21,11 +21,11 @@ def hot_keys(big: DataFrame, on: list[str]) -> DataFrame | None:
     return big.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
-def dealt(big: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
-    """big with a column _salt that spreads the rows of hot keys; it follows from the row, so a task done again deals alike."""
+def dealt(big: DataFrame, on: list[str], hot: DataFrame | None, salt: str = "_salt") -> DataFrame:
+    """big with a column that spreads the rows of hot keys; it follows from the row, so a task done again deals alike."""
     if hot is None:
-        return big.withColumn("_salt", F.lit(0))
-    return big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_tasks")).cast("int"), F.lit(0))).drop("_tasks")
+        return big.withColumn(salt, F.lit(0))
+    return big.join(F.broadcast(hot), on, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_tasks")).cast("int"), F.lit(0))).drop("_tasks")
 
 
 def copied(small: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
@@ -35,9 +35,12 @@ def copied(small: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
     return small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
 
 
-def hot_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """big (a saved table) joined with small, which has few rows for a key; how is inner or left. Give hot if it's known already."""
-    hot = hot_keys(big, on) if hot is None else hot
+_ASK = object()
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = _ASK) -> DataFrame:
+    """big (a saved table, unless hot is given) joined with small, which has few rows for a key; how is inner or left."""
+    hot = hot_keys(big, on) if hot is _ASK else hot
     if hot is None:
         return big.join(small, on, how)
     return dealt(big, on, hot).join(copied(small, on, hot), [*on, "_salt"], how).drop("_salt")
@@ -52,16 +55,18 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     both = scratch.save(links.where("a != b").select("a", "b").union(links.where("a != b").select(F.col("b"), F.col("a"))).distinct(), f"{name}-both")
     label = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), f"{name}-0")
+    if both.isEmpty():
+        return label
     centres, turn = hot_keys(both, ["b"]), 0
     while True:
         turn += 1
         named = label.select(F.col("id").alias("b"), "component")
-        met = both.join(named, "b") if centres is None else hot_join(both, named, ["b"], hot=centres)
+        met = hot_join(both, named, ["b"], hot=centres)
         near = met.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         step = label.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("low"))
         shared = hot_keys(label.select(F.col("component").alias("low")), ["low"])
         jump = label.select(F.col("id").alias("low"), F.col("component").alias("next"))
-        step = step.join(jump, "low", "left") if shared is None else hot_join(step, jump, ["low"], "left", hot=shared)
+        step = hot_join(step, jump, ["low"], "left", hot=shared)
         new = scratch.save(step.select("id", "old", F.least("low", F.coalesce("next", "low")).alias("component")), f"{name}-{turn}")
         moved = new.where("old != component").limit(1).count()
         label = new.select("id", "component")

@@ -391,9 +391,10 @@ def _leaf_pairs(leaves: DataFrame, num: int, den: int, scratch: Scratch) -> Data
 def _tested(pairs: DataFrame, data: DataFrame, read: Callable, test: Callable, parts: int) -> DataFrame:
     """The pairs (a, b) that `test` gives for the pairs (a, b) of a saved table, whose ids data (id, n, data) explains.
 
-    b's data go to the pairs by a join; a's data lead the rows of a once in each task. A hot a is dealt over several tasks."""
+    b's data go to the pairs by a join; a's data lead the rows of a once in each task. Hot ids are dealt over several tasks."""
     hot = hot_keys(pairs.select("a"), ["a"])
-    right = dealt(pairs.select("a", "b"), ["a"], hot).join(data.withColumnRenamed("id", "b"), "b").select("a", "_salt", "b", "n", "data")
+    right = dealt(pairs.select("a", "b"), ["a"], hot, "_turn")
+    right = hot_join(right, data.withColumnRenamed("id", "b"), ["b"], hot=hot_keys(pairs.select("b"), ["b"])).select("a", F.col("_turn").alias("_salt"), "b", "n", "data")
     left = copied(data.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "a"), ["a"], hot)
     left = left.select("a", "_salt", F.lit(None).cast("long").alias("b"), "n", "data")
     rows = left.union(right).repartition(parts, "a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
@@ -434,6 +435,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that link, by their full sets."""
     pairs = scratch.save(pairs, f"{name}-pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
     sets = scratch.save(_sets(docs, ids, width).groupBy("id").agg(F.max(F.struct("n", "data")).alias("x")).select("id", "x.*"), f"{name}-sets")
 
@@ -493,7 +496,18 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     member = scratch.save(block.join(klass.withColumnRenamed("component", "klass"), "id", "left").select("id", F.col("component").alias("block"), F.coalesce("klass", "id").alias("klass")), "members")
     split = member.groupBy("block").agg(F.min("klass").alias("low"), F.max("klass").alias("high")).where("low != high").select("block")
     rows = hot_join(member, split, ["block"]).join(points, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long"))
-    rows = scratch.save(rows, "rows").repartitionByRange(parts, "block", "size", "klass", "id").sortWithinPartitions("block", "size", "klass", "id")
+    rows = scratch.save(rows, "rows")
+    final = klass if rows.isEmpty() else components(links.union(_across(rows, link, docs, width, num, den, parts, scratch)), scratch, "final")
+    out = scratch.save(info.select("id", "n").join(rep.select("id", "rep"), "id", "left"), "reps")
+    out = hot_join(out, final.select(F.col("id").alias("rep"), "component"), ["rep"], "left")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    nameless = base.where((F.col("kind") == DOC) & F.col("a").isNull()).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return scratch.keep(out.union(nameless), "result")
+
+
+def _across(rows: DataFrame, link: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
+    """The links (a, b) between classes of one block that no star tested. rows: block, klass, id, n, data and size."""
+    rows = rows.repartitionByRange(parts, "block", "size", "klass", "id").sortWithinPartitions("block", "size", "klass", "id")
     packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(_leaves, "part long, at long, block long, low long, high long, least long, most long, box binary, body binary")
     leaves = scratch.save(packed.withColumn("id", F.shiftleft("part", 40) + F.col("at")), "leaves")
     met = scratch.save(_leaf_pairs(leaves.drop("body"), num, den, scratch), "met")
@@ -508,15 +522,9 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
         return out
 
     bodies = leaves.select("id", F.lit(0).cast("long").alias("n"), F.col("body").alias("data"))
-    with small_batches(spark, 16):  # leaves are large
+    with small_batches(docs.sparkSession, 16):  # leaves are large
         more = scratch.save(_tested(met, bodies, lambda n, raw: Leaf.unpack(raw), search, 4 * parts), "more")
-    rest = _verified(more.distinct().join(link, ["a", "b"], "left_anti"), docs, width, num, den, parts, scratch, "rest")
-    final = components(links.union(rest), scratch, "final")
-    out = scratch.save(info.select("id", "n").join(rep.select("id", "rep"), "id", "left"), "reps")
-    out = hot_join(out, final.select(F.col("id").alias("rep"), "component"), ["rep"], "left")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
-    nameless = base.where((F.col("kind") == DOC) & F.col("a").isNull()).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return scratch.keep(out.union(nameless), "result")
+    return _verified(more.distinct().join(link, ["a", "b"], "left_anti"), docs, width, num, den, parts, scratch, "rest")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

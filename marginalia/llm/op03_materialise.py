@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
 from marginalia.llm.op10_bpe import Spelling, bpe, edges, encoded, taken
-from marginalia.session import Scratch, ship
+from marginalia.session import Scratch, ship, small_batches
 
 LENGTH = 256
 SHARD_SLOTS = 32_768
 ROUNDS = 4
 HEADER = 16
+#: Rows in Python at once; batches also end at session.BATCH_BYTES.
+BATCH = 10_000
 
 
 class Permutation:
@@ -80,7 +82,7 @@ class Layout:
         self.kind = np.dtype("<u2") if vocabulary < 65_536 else np.dtype("<u4")
         self.end, self.length, self.shard_slots = vocabulary, length, shard_slots
         fields = [("doc_id", "<i8"), ("seq", "<u4"), ("n", "<i4"), ("ids", self.kind, (length,))]
-        self.body, self.record = np.dtype(fields), np.dtype([*fields, ("lf", "u1")])
+        self.head, self.body, self.record = np.dtype(fields[:-1]), np.dtype(fields), np.dtype([*fields, ("lf", "u1")])
 
     @property
     def stride(self) -> int:
@@ -91,14 +93,18 @@ class Layout:
         return slot // self.shard_slots, slot % self.shard_slots * self.stride
 
 
-def _binary(records: np.ndarray) -> pa.Array:
-    """Rows of bytes as an Arrow column."""
-    size = records.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer(np.arange(0, (len(records) + 1) * size, size, dtype=np.int32)), pa.py_buffer(records.tobytes())])
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of bytes, one after the other in data, as an Arrow column."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges(sizes).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
 def write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, Layout]:
     """Write the shards below out, in folders shard=0, shard=1, ...; gives the number of slots and the layout."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _write(docs, path, pattern, out, key, length, shard_slots, id_col, text_col)
+
+
+def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length: int, shard_slots: int, id_col: str, text_col: str) -> tuple[int, Layout]:
     spark = docs.sparkSession
     ship(spark)
     layout = Layout(len(bpe(path, pattern).tokens), length, shard_slots)
@@ -110,16 +116,15 @@ def write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
         for batch in batches:
             for lo, size, ids, n in encoded(batch, coder):
                 ends = np.cumsum(n)
-                held = edges((n + 1) * layout.kind.itemsize)
                 data = np.insert(ids.astype(layout.kind), ends, layout.end)
                 begin = at + edges(-(-(n + 1) // length))
                 at = int(begin[-1])
-                raw = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(held.astype(np.int32)), pa.py_buffer(data.tobytes())])
+                raw = _binary(data, (n + 1) * layout.kind.itemsize)
                 columns = [batch.column(0).slice(lo, size), pa.array(np.full(size, part)), pa.array(begin[:-1]), pa.array(np.diff(begin)), raw]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n", "ids"])
 
     scratch = Scratch(spark, "sequences")
-    done = scratch.save(rows.mapInArrow(number, "doc_id long, part long, at long, n long, ids binary"), "ids")
+    done = scratch.save(rows.mapInArrow(number, "doc_id long, part long, at long, n long, ids binary"), "ids", compression="zstd")
     first, total = {}, 0
     for r in sorted(done.groupBy("part").agg(F.sum("n").alias("n")).collect()):
         first[r["part"]] = total
@@ -130,31 +135,41 @@ def write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
     order = Permutation(total, key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records by slot, without what fills them up."""
         for batch in batches:
             sizes = batch.column(3).to_numpy()
             for lo, hi in _ranges(sizes, 1 << 14):
-                some = batch.slice(lo, hi - lo)
-                pieces, owner = sizes[lo:hi], np.repeat(np.arange(hi - lo), sizes[lo:hi])
-                begin = edges(pieces)
-                out = np.zeros(int(begin[-1]), layout.body)
-                texts = some.column(4)
+                some, pieces = batch.slice(lo, hi - lo), sizes[lo:hi]
+                owner, begin = np.repeat(np.arange(hi - lo), pieces), edges(pieces)
+                texts, ids = some.column(4), some.column(0)
                 n = pa.compute.binary_length(texts).to_numpy().astype(np.int64) // layout.kind.itemsize
-                flat = np.full(len(out) * length, layout.end, layout.kind)
-                flat[taken(begin[:-1] * length, n)] = np.frombuffer(b"".join(texts.to_pylist()), layout.kind)
-                out["ids"] = flat.reshape(-1, length)
-                seq = np.arange(len(out)) - begin[owner]
-                ids = some.column(0)
-                out["seq"] = seq | np.where(ids.is_null().to_numpy(zero_copy_only=False), 1 << 31, 0)[owner]
-                out["n"] = np.minimum(n[owner] - seq * length, length)
-                out["doc_id"] = ids.fill_null(-1).to_numpy()[owner]
-                at = some.column(2).to_numpy() + np.array([first[p] for p in some.column(1).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(order.slots(at[owner] + seq)), _binary(out)], ["slot", "record"])
+                head = np.zeros(int(begin[-1]), layout.head)
+                seq = np.arange(len(head)) - begin[owner]
+                head["seq"] = seq | np.where(ids.is_null().to_numpy(zero_copy_only=False), 1 << 31, 0)[owner]
+                head["n"] = held = np.minimum(n[owner] - seq * length, length)
+                head["doc_id"] = ids.fill_null(-1).to_numpy()[owner]
+                width = HEADER + held * layout.kind.itemsize
+                data, at = np.empty(int(width.sum()), np.uint8), edges(width)[:-1]
+                data[at[:, None] + np.arange(HEADER)] = head.view(np.uint8).reshape(-1, HEADER)
+                data[taken(at + HEADER, width - HEADER)] = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+                number = some.column(2).to_numpy() + np.array([first[p] for p in some.column(1).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(order.slots(number[owner] + seq)), _binary(data, width)], ["slot", "record"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records of full stride, but for the line feed that the writer adds."""
+        for batch in batches:
+            width = pa.compute.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            out = np.zeros(len(width), layout.body)
+            out["ids"] = layout.end
+            raw = out.view(np.uint8)
+            raw[taken(np.arange(len(width)) * layout.body.itemsize, width)] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array((batch.column(0).to_numpy() // shard_slots).astype(np.int32)), _binary(raw, np.full(len(out), layout.body.itemsize))], ["shard", "value"])
 
     shards = -(-total // shard_slots)
-    cells = done.mapInArrow(cut, "slot long, record binary").withColumn("shard", (F.col("slot") / shard_slots).cast("int"))
-    cells = cells.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
+    cells = done.mapInArrow(cut, "slot long, record binary")
+    cells = cells.repartitionById(shards, (F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot").mapInArrow(fill, "shard int, value binary")
     # the writer adds the line feed
-    cells.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(out)
+    cells.select("shard", F.col("value").cast("string")).write.mode("overwrite").partitionBy("shard").text(out)
     scratch.drop()
     return total, layout
 

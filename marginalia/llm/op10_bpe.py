@@ -36,9 +36,9 @@ from marginalia.llm import text as T
 from marginalia.session import ship
 
 #: Pieces that a worker remembers, and their bytes; when full it starts anew. A matter of speed only.
-REMEMBERED, REMEMBERED_BYTES = 2_000_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 16 << 20
 #: Bytes of texts whose new pieces go through one queue.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Tokens that are spelled out at once.
 SPELLED = 1 << 18
 #: Entries up to which a bucket is taken one by one.
@@ -134,7 +134,7 @@ class Table:
         if 2 * self.held > len(self.keys):
             old = np.flatnonzero(self.keys)
             h, rows = np.concatenate([self.keys[old], h]), np.concatenate([self.rows[old], rows])
-            self.__init__((2 * self.held).bit_length() + 1)
+            self.__init__((2 * self.held).bit_length())
             self.held = len(h)
         h = np.maximum(h, np.uint64(1))
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -374,7 +374,7 @@ class Bpe:
         ids, sizes = [whole.astype(np.int32)], np.ones(len(pretokens), np.int64)
         begin, end = np.arange(len(pretokens)), len(pretokens)
         left = [pretokens[i] for i in rest.tolist()]
-        for lo, hi in T.chunks(left, 4 * T.CHUNK):
+        for lo, hi in T.chunks(left, 2 * T.CHUNK):
             some, n = self.encode_all(left[lo:hi])
             ids.append(some)
             sizes[rest[lo:hi]], begin[rest[lo:hi]] = n, end + edges(n)[:-1]
