@@ -92,7 +92,7 @@ CLOSERS = ["-->", "*/", "*)"]
 COMMON_DIRECTIVES = [
     "sourcemappingurl=", "sourceurl=", "#__pure__", "@__pure__", "__pure__", "#__no_side_effects__", "__no_side_effects__", "ts-ignore", "ts-expect-error", "ts-nocheck", "ts-check",
     "eslint", "prettier-ignore", "stylelint", "noinspection", "nolint", "noqa", "type: ignore", "fmt:", "rustfmt::", "clang-format", "spotless:", "ktlint-disable", "ktlint-enable",
-    "detekt:", "istanbul ignore", "c8 ignore", "coverage:", "formatter:", "ocomment:", "region", "endregion",
+    "detekt:", "istanbul ignore", "c8 ignore", "coverage:", "formatter:", "region", "endregion",
 ]
 #: whole words that every language's comments may begin with
 COMMON_KEYWORDS = ["shellcheck", "nosonar"]

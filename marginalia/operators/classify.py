@@ -78,8 +78,9 @@ _PIN = r"^\s*(?:-\s+)?[\"']?uses[\"']?\s*:\s*[\"']?[^\s\"'@]+@(?:[0-9a-f]{40}|[0
 _PINNED = r"^#\s*(?:pin@|tag=|tag:\s*|ratchet:\S*@)?v?[0-9][A-Za-z0-9.+_-]*(?:\s.*)?$|^#\s*(?:main|master|stable|release/\S+)\s*$"
 
 
-def classify(comments: DataFrame) -> DataFrame:
-    """Adds kind and directive to rows of path, language, source, span_start, raw, lexical_kind."""
+def classify(comments: DataFrame, own_prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Adds kind and directive to rows of path, language, source, span_start, raw, lexical_kind. Comments that begin with one of the caller's own
+    prefixes (a tool's name and a colon, in lower case) are directives of every language."""
     raw, language, at = F.col("raw"), F.col("language"), F.col("span_start").cast("int")
     lower = F.trim(F.lower(F.decode(F.encode(comment_text(raw), "ISO-8859-1"), "UTF-8")))
     before = F.substring("source", F.lit(1), at)
@@ -88,7 +89,7 @@ def classify(comments: DataFrame) -> DataFrame:
     line_only = F.regexp_replace(line_before, "^ï»¿", "").rlike(r"^[ \t\f]*$")
     early = F.regexp_count(before, F.lit(r"\r\n|\r|\n")) < 2
     encoding = language.isin("python", "ruby") & raw.startswith("#") & early & line_only & raw.rlike(r"coding[:=][ \t]*[A-Za-z0-9._-]")
-    out = comments.withColumn("_lower", fence(lower)).withColumn("directive", fence(directive(F.col("_lower"), raw, language)))
+    out = comments.withColumn("_lower", fence(lower)).withColumn("directive", fence(F.coalesce(*(F.when(F.col("_lower").startswith(p), p) for p in own_prefixes), directive(F.col("_lower"), raw, language))))
     pin = (language == "yaml") & F.regexp_replace(line_before, "^ï»¿", "").rlike(_PIN) & raw.rlike(_PINNED)
     kind = (
         F.when((at == bom) & raw.startswith("#!"), "shebang")

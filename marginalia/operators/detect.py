@@ -64,7 +64,7 @@ def detect(files: DataFrame) -> DataFrame:
     """Adds language, dialect and detected_by (extension, reserved-filename, shebang, content; null where nothing tells) to path, content."""
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     ext = F.regexp_extract(name, r"^.+\.([^.]+)$", 1)
-    first = F.regexp_extract(latin(F.substring("content", 1, 512)), r"^([^\n]*)", 1)
+    first = F.substring_index(latin(F.col("content")), "\n", 1)
     program = F.udf(interpreter, "string")(F.when(first.startswith("#!"), first))
     head = F.lower(latin(F.substring("content", 1, 4096)))
     markup = head.contains("<!doctype html") | head.contains("<html")
@@ -81,8 +81,8 @@ def detect(files: DataFrame) -> DataFrame:
 def generated(content: Column, path: Column) -> Column:
     """Is the file made by a tool: by its name, its extension, or a phrase in its first lines?"""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    head = F.lower(F.array_join(F.slice(F.split(latin(F.substring(content, 1, 8192)), "\n"), 1, rules.GENERATED_HEADER_LINES), "\n"))
-    by_name = name.isin(*rules.GENERATED_NAMES) | F.regexp_extract(name, r"\.([^.]*)$", 1).isin(*rules.GENERATED_EXTENSIONS)
+    head = F.lower(F.substring_index(latin(content), "\n", rules.GENERATED_HEADER_LINES))
+    by_name = name.isin(*rules.GENERATED_NAMES) | F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*rules.GENERATED_EXTENSIONS)
     return by_name | F.exists(F.array(*map(F.lit, rules.GENERATED_HEADERS)), lambda p: head.contains(p))
 
 

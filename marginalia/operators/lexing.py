@@ -385,9 +385,32 @@ class CSharp(Lexer):
 
 
 class Scala(Lexer):
-    begin = r"(?P<line>//)|(?P<block>/\*)|(?P<text>(?P<by>(?<![A-Za-z0-9_$])[A-Za-z_$][A-Za-z0-9_$]*)?(?:\"\"\"|\"))|(?P<char>'(?:\\u+[0-9a-fA-F]{4}|\\.|[^\\'\r\n]{1,4})')|(?P<name>`[^`\r\n]*`)|(?P<bracket>[{}])"
+    begin = r"(?P<line>//)|(?P<block>/\*)|(?P<text>(?P<by>(?<![A-Za-z0-9_$])[A-Za-z_$][A-Za-z0-9_$]*)?(?:\"\"\"|\"))|(?P<char>'(?:\\u+[0-9a-fA-F]{4}|\\.|[^\\'\r\n]{1,4})')|(?P<name>`[^`\r\n]*`)|(?P<element>(?<![^\s({])<(?=[A-Za-z_!?]))|(?P<bracket>[{}])"
     nested = True
     char = name = Lexer.skip
+    _markup = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|</[^>]*>|<[A-Za-z_]|\{\{|\{", re.S)
+    _tag = re.compile(r"/>|>|\"[^\"]*\"|'[^']*'|\{")
+
+    def element(self, m) -> int:
+        """An XML literal: its text is no code, and {} in it and in its tags is."""
+        i, depth = m.start(), 0
+        while x := self._markup.search(self.s, i):
+            i, t = x.end(), x.group()
+            if t == "{":
+                i = self.code(i, "}")
+            elif t[:2] == "</":
+                depth -= 1
+            elif t[0] == "<" and t[1] not in "!?":
+                while y := self._tag.search(self.s, i):
+                    i = y.end() if y.group() != "{" else self.code(y.end(), "}")
+                    if y.group() in (">", "/>"):
+                        break
+                else:
+                    break
+                depth += y.group() == ">"
+            if depth <= 0 and t[0] == "<":
+                return i
+        return self.error("lexical-ambiguity", m.start(), self.n)
 
     def line_kind(self, a: int) -> str:
         return "line"
@@ -622,8 +645,13 @@ class Jsx(JavaScript):
 
     begin = JavaScript.begin + r"|(?P<element><(?=[A-Za-z>]))"
 
+    #: what a list of type parameters begins with, where TSX has one before an arrow's parameters
+    _types = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|=(?![=>])|extends\s+[^=>/\s])")
+
     def element(self, m) -> int:
         last = self.before(m.start())
+        if self.dialect == "tsx" and self._types.match(self.s, m.start()):
+            return m.end()
         if last and last not in self._words and last[-1] not in "(,=:[!&|?{};>" and last != "=>":
             return m.end()
         i, depth = m.start(), 0

@@ -24,6 +24,8 @@ class Options:
     remove_regex: tuple[str, ...] = ()
     #: (substring, reason, tool or load-bearing)
     protected: tuple[tuple[str, str, str], ...] = ()
+    #: beginnings of comments that are directives of the caller's own tools
+    own_prefixes: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
     max_lines: int | None = None
     trailing: bool | None = None

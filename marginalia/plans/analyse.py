@@ -20,7 +20,7 @@ def judge(sources: DataFrame, options: Options | None = None, profiles: dict[str
     options = options or Options()
     found = lex.comments(lex.reports(sources, profiles))
     # one shuffle by source: every window of the rules after it works on this partitioning
-    return lex.established(shape(decide(classify(found).repartition("path"), options), options))
+    return lex.established(shape(decide(classify(found, options.own_prefixes).repartition("path"), options), options))
 
 
 def transform(sources: DataFrame, options: Options | None = None, layout: str = "lines") -> DataFrame:

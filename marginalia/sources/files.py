@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
+import functools
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,26 @@ class Slice(InputPartition):
         self.files = files
 
 
+@functools.cache
+def glob(pattern: str) -> re.Pattern:
+    """A pattern of an ignore file: * and ? stay within a name, a ** that fills a part spans folders, [] are classes."""
+    out, parts = "", pattern.split("/")
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        if part == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+            continue
+        for cell in re.findall(r"\\.|\[!?\]?[^\]]*\]|.", part, re.S):
+            if cell in ("*", "?"):
+                out += "[^/]*" if cell == "*" else "[^/]"
+            elif cell[0] == "[" and len(cell) > 1:
+                out += f"(?!/)[{'^' if cell[1] in '!^' else ''}" + cell[1:-1].lstrip("!^").replace("\\", "\\\\").replace("[", "\\[") + "]"
+            else:
+                out += re.escape(cell[-1])
+        out += "" if last else "/"
+    return re.compile(out + r"\Z", re.S)
+
+
 def ignored(patterns: list[tuple[str, str, bool]], path: str, folder: bool) -> bool:
     """Do the ignore patterns (folder, pattern, negated) in order exclude this path?"""
     out = False
@@ -31,10 +52,10 @@ def ignored(patterns: list[tuple[str, str, bool]], path: str, folder: bool) -> b
             continue
         rest = path[len(base) + 1 :] if base else path
         only_folder = pattern.endswith("/")
-        p = pattern.rstrip("/")
+        p = pattern[:-1] if only_folder else pattern
         if only_folder and not folder:
             continue
-        hit = fnmatch.fnmatchcase(rest, p.lstrip("/")) if "/" in p else fnmatch.fnmatchcase(os.path.basename(rest), p)
+        hit = glob(p.removeprefix("/")).match(rest if "/" in p else os.path.basename(rest))
         if hit:
             out = not negated
     return out

@@ -259,3 +259,26 @@ def test_reports(spark):
     assert reports.annotations(j).first()["value"] == "::notice file=d i/a.c,line=1,col=8::removable line: // remove me"
     assert b"-int x; // remove me" in bytes(reports.diffs(analyse.transform(df, Options(policy="standard"))).first()["diff"])
     assert "a.c:1:8: remove line" in reports.human(j).first()["text"]
+
+
+def test_ignore_patterns():
+    from marginalia.sources.files import ignored
+
+    hit = lambda pattern, path, folder=False: ignored([("", pattern, False)], path, folder)
+    assert hit("a/*.py", "a/b.py") and not hit("a/*.py", "a/b/c.py")
+    assert hit("a/**/c.py", "a/c.py") and hit("a/**/c.py", "a/x/y/c.py") and hit("**/c.py", "x/c.py") and hit("a/**", "a/x/y")
+    assert hit("*.py", "a/b/c.py") and hit("/c.py", "c.py") and not hit("/c.py", "a/c.py")
+    assert hit("[!a]x", "bx") and not hit("[!a]x", "ax") and hit("build/", "build", True) and not hit("build/", "build")
+    assert hit("a\\*", "a*") and not hit("a\\*", "ab")
+
+
+def test_own_prefixes_and_whole_heads(spark):
+    from marginalia.operators import detect
+    from marginalia.operators.classify import classify
+
+    rows = [("a", "python", "# mytool: keep", 0, "# mytool: keep", "line"), ("a", "python", "# other", 0, "# other", "line")]
+    df = spark.createDataFrame(rows, "path string, language string, source string, span_start long, raw string, lexical_kind string")
+    assert sorted(r["kind"] for r in classify(df, ("mytool:",)).collect()) == ["directive", "line"]
+    head = "x" * 9000 + "\n" + "// " + "y" * 600 + " @generated\n"
+    files = spark.createDataFrame([("a.c", bytearray(head.encode())), ("b.c", bytearray(b"plain")), ("c." + detect.rules.GENERATED_EXTENSIONS[0].upper(), bytearray(b"x"))], "path string, content binary")
+    assert {r["path"]: r["g"] for r in files.select("path", detect.generated(files.content, files.path).alias("g")).collect()} == {"a.c": "@generated" in detect.rules.GENERATED_HEADERS, "b.c": False, "c." + detect.rules.GENERATED_EXTENSIONS[0].upper(): True}

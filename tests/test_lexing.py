@@ -90,3 +90,20 @@ def test_profiles():
     assert [k for _, _, k in found] == ["doc-line", "doc-line", "line"]
     with pytest.raises(ValueError):
         scan_profile(b"", {"name": "x"})
+
+
+def test_type_parameters_in_tsx():
+    for source in (b"const f = <T,>(x: T) => x // yes", b"const f = <T extends U>(x: T) => x // yes", b"const f = <const T, U>(x: T) => <b>// no</b> // yes", b"const f = <T = any,>(x: T) => x // yes"):
+        comments, errors = scan(source, "typescript", "tsx")
+        assert [source[a:b] for a, b, _ in comments] == [b"// yes"] and not errors, source
+    comments, errors = scan(b"const x = <T extends=\"a\">// no</T> // yes", "typescript", "tsx")
+    assert len(comments) == 1 and not errors
+
+
+def test_markup_in_scala():
+    for source in (b"val x = <a>// not</a> // yes", b"val x = <a b=\"// no\"/> // yes", b"val x = <a><!-- // no -->{f(1)}<b/>{{ // no</a> // yes", b"val y = a < b // yes", b"def f[A <: B](x: A) = x <= y // yes"):
+        comments, errors = scan(source, "scala")
+        assert [source[a:b] for a, b, _ in comments] == [b"// yes"] and not errors, source
+    inner = b"val x = <a>{ f(1) /* in */ }</a>"
+    assert [inner[a:b] for a, b, _ in scan(inner, "scala")[0]] == [b"/* in */"]
+    assert scan(b"val x = <a>// open", "scala")[1]
