@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import rules
-from marginalia.functions.text import column_of, latin, line_of, opening_tag
+from marginalia.functions.text import column_of, latin, line_of
 from marginalia.operators import lex, style
+from marginalia.operators.classify import classify
 from marginalia.operators.detect import detect, languages
 from marginalia.operators.layout import applied, plan_edits, source_map
+from marginalia.operators.shape import expire
 from marginalia.operators.verdict import Options, decide
 from marginalia.plans import analyse, reports
 from marginalia.session import table
@@ -31,9 +33,9 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged_lines(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
     lines = document_lines(spark, sf_dir)
-    licensed = F.lower("body").rlike("|".join(m.replace("-", r"\-") for m in rules.LEGAL_MARKERS))
-    c = lines.withColumns({"kind": F.when(licensed, "license").otherwise("line"), "raw": F.col("body"), "path": F.col("source")})
-    return decide(c, Options(policy=policy))
+    c = lines.select("doc_id", "source", "line", F.col("source").alias("path"), F.lit("c").alias("language"), latin(F.col("body").cast("binary")).alias("raw"), F.lit(0).cast("long").alias("span_start"), F.lit("line").alias("lexical_kind"))
+    classified = classify(c.withColumnRenamed("source", "origin").withColumn("source", F.lit(""))).drop("source").withColumnRenamed("origin", "source")
+    return decide(classified, Options(policy=policy))
 
 
 def page_comment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +79,11 @@ def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_lines(spark, sf_dir, "conservative").where("kind = 'license'").select("doc_id", "line", "action")
 
 
-def summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judged_lines(spark, sf_dir, "conservative")
-    return j.groupBy("source").agg(F.count_if(F.col("action") == "remove").alias("removable"), F.count_if(F.col("action") == "keep").alias("kept"))
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one row of a run over all pages, with the documents as skipped files."""
+    sources = page_sources(spark, sf_dir)
+    skipped = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.lit("unknown language").alias("reason"), F.lit(False).alias("error"))
+    return analyse.summary(analyse.judge(sources, Options(policy="all")), sources, skipped)
 
 
 def kind_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +113,17 @@ def coverage_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(opening_tag(F.col("text")).alias("tag")).where("tag IS NOT NULL")
-    d = document_lines(spark, sf_dir).select(opening_tag(F.col("body")).alias("tag")).where("tag IS NOT NULL")
-    return c.union(d).groupBy("tag").agg(F.count("*").alias("n"))
+    """Tags that open a conversation's turn or a document's line, each taken for a line comment."""
+    c = table(spark, sf_dir, "conversations").select("text").union(document_lines(spark, sf_dir).select("body"))
+    return analyse.tag_inventory(c.select(latin(F.col("text").cast("binary")).alias("raw"), F.lit("line").alias("kind")))
 
 
 def expired_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as dated lines: an event's type is its tag, each type has a limit in days."""
-    e = table(spark, sf_dir, "events").select("event_type", F.expr(f"greatest(unix_timestamp(timestamp'{NOW}') - unix_timestamp(cast(ts AS timestamp)), 0) div 86400").alias("age_days"))
-    limit = F.element_at(F.create_map(*[F.lit(x) for t, d in EXPIRY.items() for x in (t, d)]), F.col("event_type"))
-    return e.withColumn("age_limit", limit).groupBy("event_type").agg(F.count_if(F.col("age_days") > F.col("age_limit")).alias("expired"), F.max("age_days").alias("oldest"), F.count("*").alias("lines"))
+    """Events as tagged lines with a date: an event's type is its tag, each type has a limit in days."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.lit(1).cast("long").alias("line"), F.col("ts").alias("commit_ts"), F.col("event_type").alias("tag"))
+    c = e.select("path", "tag", F.lit("").alias("source"), F.lit(0).cast("long").alias("span_start"), F.lit("tagged").alias("shape"), F.lit("keep").alias("action"), F.lit("").alias("reason"), F.lit("tagged").alias("explanation"))
+    judged = expire(c, e.select("path", "line", "commit_ts"), Options(policy="standard", expiry=EXPIRY), NOW)
+    return judged.groupBy(F.col("tag").alias("event_type")).agg(F.count_if("expired").alias("expired"), F.max("age_days").cast("long").alias("oldest"), F.count("*").alias("lines"))
 
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +200,7 @@ def language_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    page_comment_counts, page_comment_spans, page_comment_verdicts, page_transform, page_source_map, embedded_regions, detected_languages, license_lines, summary_by_source, kind_breakdown,
+    page_comment_counts, page_comment_spans, page_comment_verdicts, page_transform, page_source_map, embedded_regions, detected_languages, license_lines, page_summary, kind_breakdown,
     kept_reasons, busiest_sources, ratchet_drift, coverage_by_extension, tag_inventory, expired_promises, stream_versions, document_paragraphs, sentence_wrap, trailing_blanks,
     positions_of_stops, established_lines, unused_settings, page_report_jsonl, page_report_sarif, page_report_annotations, page_diffs, page_verify, page_advice, language_catalogue,
 )
@@ -223,7 +228,8 @@ ORACLE_SQL = {
         FROM (SELECT 'page' AS path, contains(lower(html[1:4096]), '<html') OR contains(lower(html[1:4096]), '<!doctype html') AS hit FROM pages
         UNION ALL SELECT 'document', contains(lower(text[1:4096]), '<html') OR contains(lower(text[1:4096]), '<!doctype html') FROM documents) GROUP BY ALL""",
     "license_lines": f"WITH {_LINES} SELECT doc_id, line, 'keep' AS action FROM judged WHERE kind = 'license'",
-    "summary_by_source": f"WITH {_LINES} SELECT source, count(*) FILTER (kind = 'line') AS removable, count(*) FILTER (kind != 'line') AS kept FROM judged GROUP BY source",
+    "page_summary": f"""SELECT count(*) AS files, count(*) FILTER (len(c) > 0) AS files_with_findings, 0::BIGINT AS files_invalid, 0::BIGINT AS kept, coalesce(sum(len(c)), 0)::BIGINT AS removable, coalesce(sum(len(c)), 0)::BIGINT AS removed,
+        (SELECT count(*) FROM documents) AS skipped, 0::BIGINT AS io_errors FROM (SELECT regexp_extract_all(html, {_COMMENT}) AS c FROM pages)""",
     "kind_breakdown": f"WITH {_LINES} SELECT kind, count(*) FILTER (kind = 'line') AS removable, count(*) FILTER (kind != 'line') AS kept FROM judged GROUP BY kind",
     "kept_reasons": f"WITH {_LINES} SELECT 'conservative policy' AS reason, count(*) AS n FROM judged WHERE kind = 'license' HAVING count(*) > 0",
     "busiest_sources": f"WITH {_LINES} SELECT source AS path, count(*) AS removable FROM judged GROUP BY source ORDER BY removable DESC, path LIMIT 5",
