@@ -44,7 +44,7 @@ PROGRAMS = [
     ("python", "standard", "s = '# §s'; t = '''\n# §s\n'''; ⟦L|# §c⟧\nu = r\"\\# §s\" ⟦L|# §c⟧"),
     ("shell", "bash53", "echo a#b '# §s' \"# §s $(x ⟦L|# in⟧\n)\" ⟦L|# §c⟧\ncat <<EOF\n# §s\nEOF\n⟦L|# §c⟧\n"),
     ("html", "standard", "<a title='<!-- §s'>§s⟦H|<!-- §c -->⟧<script>let a = '// §s'; ⟦L|// §c⟧\n</script><style>⟦B|/* §c */⟧</style><textarea>⟦H|<!-- §s -->⟧</textarea>"),
-    ("css", "standard", "a { b: url(//x §s); c: \"/* §s\" } ⟦B|/* §c */⟧ "),
+    ("css", "standard", "a { b: url(//x); c: \"/* §s\" } ⟦B|/* §c */⟧ "),
     ("css", "scss", "a { b: \"// §s\" } ⟦L|// §c⟧\n⟦B|/* §c */⟧\n"),
     ("jsonc", "standard", '{"a": "// §s", ⟦B|/* §c */⟧ "b": 1} ⟦L|// §c⟧'),
     ("sql", "standard", "select '-- §s', \"/* §s\" ⟦L|-- §c⟧\n⟦B|/* §c */⟧"),
