@@ -411,7 +411,7 @@ def _tested(pairs: DataFrame, data: DataFrame, read: Callable, test: Callable, p
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(T.tidy(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -429,7 +429,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 packed = [raw[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(cuts)), pa.array(packed, pa.binary())], ["id", "n", "data"])
 
-    return some.mapInArrow(build, "id long, n long, data binary")
+    return some.mapInArrow(T.tidy(build), "id long, n long, data binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch, name: str) -> DataFrame:
@@ -463,8 +463,8 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     parts = input_partitions(docs, 16 << 20)
     buckets = 8 * parts
-    mapped = docs.mapInArrow(lambda it: _mapped(it, width, bands, buckets), _MAPPED_DDL)
-    base = scratch.save(mapped.repartition(parts, "bucket").mapInArrow(_reduced, _MAPPED_DDL), "base")
+    mapped = docs.mapInArrow(T.tidy(lambda it: _mapped(it, width, bands, buckets)), _MAPPED_DDL)
+    base = scratch.save(mapped.repartition(parts, "bucket").mapInArrow(T.tidy(_reduced), _MAPPED_DDL), "base")
     info = base.where((F.col("kind") == DOC) & F.col("a").isNotNull()).select(F.col("a").alias("id"), "n", "hi", "lo", "data")
     twice = scratch.save(info.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "twice")
     if twice.limit(1).count():
@@ -508,7 +508,7 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
 def _across(rows: DataFrame, link: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
     """The links (a, b) between classes of one block that no star tested. rows: block, klass, id, n, data and size."""
     rows = rows.repartitionByRange(parts, "block", "size", "klass", "id").sortWithinPartitions("block", "size", "klass", "id")
-    packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(_leaves, "part long, at long, block long, low long, high long, least long, most long, box binary, body binary")
+    packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(T.tidy(_leaves), "part long, at long, block long, low long, high long, least long, most long, box binary, body binary")
     leaves = scratch.save(packed.withColumn("id", F.shiftleft("part", 40) + F.col("at")), "leaves")
     met = scratch.save(_leaf_pairs(leaves.drop("body"), num, den, scratch), "met")
 

@@ -117,7 +117,7 @@ def quality(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id",
     """Counts and verdict for each row of docs; a map without a shuffle."""
     ship(docs.sparkSession)
     rules = rules or Rules()
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lambda it: _rows(it, rules), SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(T.tidy(lambda it: _rows(it, rules)), SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
             kept = [r.filter(r.column(9)).column(0) for r in _rows(iter([part]), rules)]
             yield batch.take(pa.concat_arrays(kept) if kept else pa.array([], pa.int64()))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(T.tidy(good), docs.schema)
 
 
 #: The whole result in DuckDB SQL, with the parameters of Rules().
