@@ -199,7 +199,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, id_c
                         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "score", "item_words", "similarity", "first_word", "end_word"])
 
-        out = out.unionByName(docs.mapInArrow(search, SCHEMA))
+        out = out.unionByName(docs.mapInArrow(T.tidy(search), SCHEMA))
     return out
 
 
@@ -216,5 +216,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None) ->
                 bad = {i + hit[0] for i, j in T.chunks(texts) for hit in items.search(texts[i:j])}
                 yield batch.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(T.tidy(clean), docs.schema)
     return docs

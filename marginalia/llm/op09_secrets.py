@@ -346,7 +346,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
             found = [[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in code_points(t, scan.scan(t))] if t else [] for t in T.blobs(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(rows, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(T.tidy(rows), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
@@ -381,7 +381,7 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]
                     columns[count] = pa.array(sizes, batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(T.tidy(rows), docs.schema)
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -485,7 +485,7 @@ def encoded(batch: pa.RecordBatch, coder: Bpe) -> Iterator[tuple[int, int, np.nd
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, rows: Callable, schema: str) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(rows, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(T.tidy(rows), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
