@@ -17,8 +17,8 @@ A document's set holds its distinct word shingles. Two documents link when den *
    deals every point of a block with more than one class to leaves of at most LEAF points, in one order, so a leaf holds neighbours and no block is in one task. A leaf's box is
    the largest coordinates in it; nodes of FAN leaves or nodes have boxes too. The tree is joined with itself from the root down: pairs
    of nodes whose boxes allow a link are opened, all others left, so no pairs of leaves are listed beforehand. Pairs of leaves that are
-   left are searched, each leaf by a tree of its own, for pairs of different classes whose bound allows a link. Survivors are verified
-   on the full sets. Pairs inside a class need no test.
+   left are joined likewise, each leaf by a tree of its own, for pairs of different classes whose bound allows a link; nodes of one and
+   the same class are left too. Survivors are verified on the full sets. Pairs inside a class need no test.
 
 In steps 3 and 4 points, sets and leaves go to the pairs by an equi-join on the one side and lead the other side's rows once for each
 task; a document that leads very many pairs is dealt over several tasks.
@@ -251,29 +251,56 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RTree:
-    """Count vectors packed by size; an inner node keeps the largest coordinates below it."""
+    """Count vectors packed by class and size; an inner node keeps the largest coordinates below it, and the range of sizes and of classes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 16):
-        self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
-        self.fan, self.levels = fan, [(points[self.order], sizes[self.order], sizes[self.order])]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, klass: np.ndarray, fan: int = 16):
+        self.order = np.lexsort((points[:, 1], points[:, 0], sizes, klass))
+        p, n, k = points[self.order], sizes[self.order], klass[self.order]
+        self.fan, self.levels = fan, [(p, n, n, k, k)]
         while len(self.levels[-1][1]) > 1:
-            p, low, high = self.levels[-1]
+            p, low, high, least, most = self.levels[-1]
             cut = np.arange(0, len(low), fan)
-            self.levels.append((np.maximum.reduceat(p, cut, 0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
-
-    def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Indexes of the points whose overlap with this one can reach the similarity."""
-        at = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            p, low, high = self.levels[depth]
-            low, high = low[at], high[at]
-            bound = np.minimum(np.minimum(p[at], point).sum(1, dtype=np.int64), np.minimum(high, size))
-            # den * overlap >= num * (size + other - overlap), the other as small as the node allows
-            at = at[((den + num) * bound >= num * (size + low)) & (low * num <= den * size) & (high * den >= num * size)]
+            least_of, most_of = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((most_of(p, cut, 0), least_of(low, cut), most_of(high, cut), least_of(least, cut), most_of(most, cut)))
+
+    def join(self, other: RTree, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the points of this tree and of the other whose classes differ and whose overlap can reach the similarity; within one tree each pair once."""
+        i = j = np.zeros(1, np.int64)
+        for depth in range(max(len(self.levels), len(other.levels)) - 1, -1, -1):
+            x, y = (t.levels[min(depth, len(t.levels) - 1)] for t in (self, other))
+            if other is self:
+                i, j = i[i <= j], j[i <= j]
+            i, j = _meeting(x, i, y, j, num, den)
             if depth:
-                at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
-                at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
+                i, j = (t._opened(k, depth, flat) for t, k, flat in ((self, i[:, None, None], (1, -1, 1)), (other, j[:, None, None], (1, 1, -1))))
+                i, j = (k.ravel() for k in np.broadcast_arrays(i, j))
+                real = (i < len(self.levels[min(depth, len(self.levels)) - 1][1])) & (j < len(other.levels[min(depth, len(other.levels)) - 1][1]))
+                i, j = i[real], j[real]
+        return self.order[i], other.order[j]
+
+    def _opened(self, nodes: np.ndarray, depth: int, flat: tuple[int, ...]) -> np.ndarray:
+        """The children of nodes of this depth; a tree that is less high stays at its root."""
+        return nodes * self.fan + np.arange(self.fan).reshape(flat) if depth < len(self.levels) else nodes
+
+
+#: Coordinates that are compared at once.
+COMPARED = 1 << 18
+
+
+def _meeting(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of nodes i of x and j of y that can hold a link between classes."""
+    (p, low, high, least, most), (q, low_y, high_y, least_y, most_y) = x, y
+    keep = (low[i] * num <= high_y[j] * den) & (low_y[j] * num <= high[i] * den)
+    keep &= (least[i] != most[i]) | (least_y[j] != most_y[j]) | (least[i] != least_y[j])
+    i, j = i[keep], j[keep]
+    keep = np.zeros(len(i), bool)
+    step = max(1, COMPARED // p.shape[1])
+    for at in range(0, len(i), step):
+        a, b = i[at : at + step], j[at : at + step]
+        bound = np.minimum(np.minimum(p[a], q[b]).sum(1, dtype=np.int64), np.minimum(high[a], high_y[b]))
+        # den * overlap >= num * (size + other - overlap), the sizes as small as the nodes allow
+        keep[at : at + step] = (den + num) * bound >= num * (low[a] + low_y[b])
+    return i[keep], j[keep]
 
 
 # ---- leaves and boxes -----------------------------------------------------------------------------------------------------------------
@@ -285,6 +312,7 @@ class Leaf:
     def __init__(self, ids: np.ndarray, n: np.ndarray, klass: np.ndarray, points: list[bytes]):
         self.ids, self.n, self.klass, self.points = ids, n, klass, points
         self.groups = min(map(len, points))
+        self._trees: dict[int, RTree] = {}
 
     def pack(self) -> bytes:
         parts = (np.array([len(self.ids)]), self.ids, self.n, self.klass, np.array([len(p) for p in self.points]))
@@ -298,7 +326,19 @@ class Leaf:
         return Leaf(ids, n, klass, [raw[b - a : b] for a, b in zip(size.tolist(), ends.tolist(), strict=True)])
 
     def folded(self, groups: int) -> np.ndarray:
-        return np.stack([folded(p, n, groups) for p, n in zip(self.points, self.n.tolist(), strict=True)])
+        out, sizes = np.empty((len(self.ids), groups + 1), np.uint32), np.array([len(p) for p in self.points])
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            p = np.frombuffer(b"".join([self.points[k] for k in at.tolist()]), np.uint8)
+            out[at, :groups] = p.reshape(len(at), -1, groups).sum(1, dtype=np.uint32)
+        out[:, groups] = self.n - out[:, :groups].sum(1, dtype=np.int64)
+        return out
+
+    def tree(self, groups: int) -> RTree:
+        """The tree over the points with so many groups, built once."""
+        if groups not in self._trees:
+            self._trees[groups] = RTree(self.folded(groups), self.n, self.klass)
+        return self._trees[groups]
 
     def box(self) -> bytes:
         return self.folded(min(self.groups, BOX)).max(0).tobytes()
@@ -513,13 +553,11 @@ def _across(rows: DataFrame, link: DataFrame, docs: DataFrame, width: int, num:
     met = scratch.save(_leaf_pairs(leaves.drop("body"), num, den, scratch), "met")
 
     def search(a: int, x: Leaf, b: int, y: Leaf) -> list[tuple[int, int]]:
-        groups, out = min(x.groups, y.groups), []
-        tree = RTree(y.folded(groups), y.n)
-        for p, n, i, k in zip(x.folded(groups), x.n.tolist(), x.ids.tolist(), x.klass.tolist(), strict=True):
-            hit = tree.search(p, n, num, den)
-            hit = hit[y.klass[hit] != k]
-            out += [(min(i, j), max(i, j)) for j in y.ids[hit].tolist() if a != b or i < j]
-        return out
+        groups = min(x.groups, y.groups)
+        tree = x.tree(groups)
+        i, j = tree.join(tree if a == b else y.tree(groups), num, den)
+        i, j = x.ids[i], (x if a == b else y).ids[j]
+        return list(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
 
     bodies = leaves.select("id", F.lit(0).cast("long").alias("n"), F.col("body").alias("data"))
     with small_batches(docs.sparkSession, 16):  # leaves are large

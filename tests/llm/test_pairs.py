@@ -71,16 +71,27 @@ def test_join_of_nothing_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in jaccard.one_of_each(df, 4, 85, 100).collect()) == ["1", "1", "None"]
 
 
-def test_rtree_finds_all():
+def test_rtrees_join_to_all_pairs():
     rng = np.random.default_rng(1)
-    points = rng.poisson(2, (300, 64)).astype(np.uint16)
+    points = rng.poisson(2, (300, 64)).astype(np.uint32)
     points[100:130] = points[0]
-    sizes = points.sum(1).astype(np.int64)
-    tree = jaccard.RTree(points, sizes)
-    for i in range(0, 300, 17):
-        least = np.minimum(points, points[i]).sum(1)
-        want = {j for j in range(300) if 185 * least[j] >= 85 * (sizes[i] + sizes[j]) and sizes[i] * 85 <= sizes[j] * 100 and sizes[j] * 85 <= sizes[i] * 100}
-        assert set(tree.search(points[i], int(sizes[i]), 85, 100).tolist()) == want
+    sizes, klass = points.sum(1).astype(np.int64), rng.integers(0, 4, 300)
+    klass[100:120] = 2
+
+    def links(x, y):
+        least, both = np.minimum(points[x], points[y]).sum(), sizes[x] + sizes[y]
+        return klass[x] != klass[y] and 185 * least >= 85 * both and sizes[x] * 85 <= sizes[y] * 100 and sizes[y] * 85 <= sizes[x] * 100
+
+    tree = lambda r: jaccard.RTree(points[r.start : r.stop], sizes[r.start : r.stop], klass[r.start : r.stop])
+    every = range(300)
+    i, j = tree(every).join(tree(every), 85, 100)
+    assert len(i) and sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(x, y) for x in every for y in every if links(x, y)]
+    one = tree(every)
+    i, j = one.join(one, 85, 100)
+    assert sorted((min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)) == [(x, y) for x in every for y in every if x < y and links(x, y)]
+    for low, high in ((range(1), every), (every, range(100, 101)), (range(20), range(17, 300))):  # trees of unlike heights
+        i, j = tree(low).join(tree(high), 85, 100)
+        assert sorted(zip((i + low.start).tolist(), (j + high.start).tolist(), strict=True)) == [(x, y) for x in low for y in high if links(x, y)]
 
 
 def test_boxes_bound_their_leaves():
