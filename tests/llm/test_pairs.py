@@ -113,6 +113,33 @@ def test_boxes_bound_their_leaves():
             assert least >= len(np.intersect1d(x, y))
 
 
+def test_leaves_of_blocks_join_to_all_links(spark, monkeypatch):
+    """Blocks of many leaves, of one leaf and of one class: the search gives exactly the links between classes of a block."""
+    monkeypatch.setattr(jaccard, "LEAF", 12)
+    rng = random.Random(5)
+    base, texts = [[rng.choice("abcdefghijklmnop") + str(rng.randrange(60)) for _ in range(40)] for _ in range(3)], []
+    for i in range(180):
+        words = list(base[min(i // 80, 2)])
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(40)] = "x%d" % rng.randrange(500)
+        texts.append(" ".join(words))
+    docs, keys = jaccard.shingles([t.encode() for t in texts], 3)
+    sets = [keys[docs == i] for i in range(180)]
+    block = [min(i // 80, 2) if i < 170 else 3 for i in range(180)]
+    klass = [i % 4 if i < 80 else 7 if i < 160 else i % 2 for i in range(180)]
+    rows = [(block[i], klass[i], i, len(sets[i]), bytearray(jaccard.point(sets[i])), len(sets[i]).bit_length()) for i in range(180)]
+    found = jaccard._across(
+        spark.createDataFrame(rows, "block long, klass long, id long, n long, data binary, size long"),
+        spark.createDataFrame([], "a long, b long"),
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        3, 80, 100, 4, jaccard.Scratch(spark, "leaves"),
+    )
+    got = sorted((r["a"], r["b"]) for r in found.collect())
+    like = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    want = [(i, j) for i in range(180) for j in range(i + 1, 180) if block[i] == block[j] and klass[i] != klass[j] and like(sets[i], sets[j])]
+    assert got == want and len({block[i] for i, _ in want}) == 3
+
+
 def test_chained_block_of_many_documents(spark, monkeypatch):
     """More than 2,000 documents, each like the one before it and the first unlike the last, in one block over many leaves."""
     monkeypatch.setattr(jaccard, "LEAF", 40)
