@@ -12,9 +12,11 @@ A document's set holds its distinct word shingles. Two documents link when den *
    holds for it too.) A batch of documents reduces its own signatures first, so a group of copies that holds a third of all rows
    sends one record for each batch and signature; what crosses the network is packed records by bucket.
 3. Each signature yields a star: its documents with the least among them. Stars whose bound allows it are verified on the full sets
-   and give classes: a group of copies takes as many tests as it has members. Documents that stars connect are a block.
+   and give classes: a group of copies takes as many tests as it has members. The sets that share a signature are a block; blocks of the
+   same sets are one. (What stars connect is no block: a line that many documents have connects most of a corpus by ever other signatures.)
 4. The R-tree finds all other pairs of a block. A range partition by block, size and class, whose borders Spark fits on a bounded sample,
-   deals every point of a block with more than one class to leaves of at most LEAF points, in one order, so a leaf holds neighbours and no block is in one task. A leaf's box is
+   deals every point of a block with three or more sets and more than one class to leaves of at most LEAF points, in one order, so a leaf
+   holds neighbours and no block is in one task. A block that lies in one leaf is searched there, by a tree of its own. A leaf's box is
    the largest coordinates in it; nodes of FAN leaves or nodes have boxes too. The tree is joined with itself from the root down: pairs
    of nodes whose boxes allow a link are opened, all others left, so no pairs of leaves are listed beforehand. Pairs of leaves that are
    left are joined likewise, each leaf by a tree of its own, for pairs of different classes whose bound allows a link; nodes of one and
@@ -49,6 +51,8 @@ from marginalia.session import Scratch, input_partitions, ship, small_batches
 LEAST_GROUPS, MOST_GROUPS = 64, 1 << 16
 #: Points of a leaf, their bytes, children of a node, and the groups of a box.
 LEAF, LEAF_BYTES, FAN, BOX = 512, 2 << 20, 16, 512
+#: Blocks of so many members have a second star.
+MANY = 64
 #: Rows in Python at once; batches also end at session.BATCH_BYTES.
 BATCH = 2000
 #: Ids that may be broadcast to filter the documents read again: 8 bytes each; more go by a shuffled semi-join.
@@ -93,6 +97,32 @@ def folded(raw: bytes, n: int, groups: int) -> np.ndarray:
     return out
 
 
+def _falls_short(n: int, groups: int, k: int) -> bool:
+    """Whether it isn't rare (1 in 10,000; by four standard deviations for large sets) that n shingles fill at most k groups."""
+    if n > 256:
+        share = math.exp(-n / groups)
+        return groups * (1 - share) - 4 * math.sqrt(groups * share * (1 - (1 + n / groups) * share)) <= k
+    filled, at = np.zeros(groups + 1), np.arange(groups + 1)
+    filled[0] = 1.0
+    for _ in range(n):
+        filled[1:] = filled[1:] * at[1:] / groups + filled[:-1] * (groups - at[:-1]) / groups
+        filled[0] = 0.0
+    return filled[: k + 1].sum() > 1e-4
+
+
+def _spare(n: int, k: int) -> int:
+    """So many groups more than k + 1 that sets of n shingles hardly ever leave more than that empty: empty groups are alike in unlike documents."""
+    least = most = k // 20 + 3
+    if k >= n:  # nothing helps: the bands are wide at a low similarity
+        return most
+    while most < 8 * n and _falls_short(n, k + 1 + most, k):
+        least, most = most, 2 * most
+    while least < most:
+        e = (least + most) // 2
+        least, most = (e + 1, most) if _falls_short(n, k + 1 + e, k) else (least, e)
+    return most
+
+
 class Bands:
     """Size bands [low, next low), and for each how many groups its signatures have."""
 
@@ -104,7 +134,7 @@ class Bands:
         self.low = np.array(low, np.int64)
         # the shingles in which two linked sets can differ, the smaller of which is in the band
         self.differ = (self.low[1:] - 1) * (den - num) // num
-        self.spare = np.where(self.differ > 0, self.differ // 20 + 3, 0)
+        self.spare = np.array([_spare(n, k) if k else 0 for n, k in zip(low, self.differ.tolist(), strict=False)], np.int64)
         self.groups = self.differ + 1 + self.spare
 
     def roles(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -151,16 +181,21 @@ def signatures(docs: np.ndarray, keys: np.ndarray, n: np.ndarray, bands: Bands)
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
-def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, least id of each), and the distinct links of the others with the least."""
+def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, least id of each), and the links of the others with the least, each with its signature."""
     order = np.lexsort((ids, sig))
     s, d = sig[order], ids[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
     lead = d[new][np.cumsum(new) - 1] if len(s) else d
-    other = d != lead
-    pairs = np.unique(np.stack([lead[other], d[other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return s[new], d[new], pairs[:, 0], pairs[:, 1]
+    other = np.flatnonzero(d != lead)
+    return s[new], d[new], s[other], lead[other], d[other]
+
+
+def _links(sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows for links, not too many at once."""
+    for i in range(0, len(a), most):
+        yield _batch(LINK, len(a[i : i + most]), bucket=b[i : i + most], a=a[i : i + most], b=b[i : i + most], hi=sig[i : i + most].view(np.int64))
 
 
 _MAPPED = pa.schema([("bucket", pa.int64()), ("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())])
@@ -174,7 +209,7 @@ def _batch(kind: int, size: int, **columns) -> pa.RecordBatch:
 
 
 def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows for documents; links within a batch; packed (signature, least id) records by bucket."""
+    """Rows for documents; links within a batch, with their signatures; packed (signature, least id) records by bucket."""
     for batch in batches:
         named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         ids = batch.column(0).fill_null(0).to_numpy()
@@ -206,9 +241,8 @@ def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets
             owners.append(own[d])
         if not sigs:
             continue
-        s, d, a, b = _stars(np.concatenate(sigs), np.concatenate(owners))
-        if len(a):
-            yield _batch(LINK, len(a), bucket=b % buckets, a=a, b=b)
+        s, d, *found = _stars(np.concatenate(sigs), np.concatenate(owners))
+        yield from _links(*found)
         bucket = (s % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -224,12 +258,12 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = np.dtype([("s", "<u8"), ("d", "<i8")])
     held, waiting, size = np.empty(0, kind), [], 0
 
-    def reduce() -> tuple[np.ndarray, pa.RecordBatch | None]:
+    def reduce() -> tuple[np.ndarray, Iterator[pa.RecordBatch]]:
         every = np.concatenate([held, *(np.frombuffer(x, kind) for x in waiting)])
-        s, d, a, b = _stars(every["s"], every["d"])
+        s, d, *found = _stars(every["s"], every["d"])
         out = np.empty(len(s), kind)
         out["s"], out["d"] = s, d
-        return out, _batch(LINK, len(a), bucket=b, a=a, b=b) if len(a) else None
+        return out, _links(*found)
 
     for batch in batches:
         records = pa.compute.equal(batch.column(1), pa.scalar(RECORDS, pa.int8()))
@@ -239,15 +273,12 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(7).filter(records).to_pylist():
             waiting.append(x)
             size += len(x)
-        if size > max(64 << 20, held.nbytes):
+        if size > max(16 << 20, held.nbytes):
             held, links = reduce()
             waiting, size = [], 0
-            if links:
-                yield links
+            yield from links
     if waiting:
-        _, links = reduce()
-        if links:
-            yield links
+        yield from reduce()[1]
 
 
 class RTree:
@@ -340,6 +371,14 @@ class Leaf:
             self._trees[groups] = RTree(self.folded(groups), self.n, self.klass)
         return self._trees[groups]
 
+    def pairs(self, num: int, den: int, other: Leaf | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(smaller id, larger id): pairs of its points, or of a point of its own with one of the other's, of different classes, whose bound allows a link."""
+        groups = min(self.groups, (other or self).groups)
+        tree = self.tree(groups)
+        i, j = tree.join(other.tree(groups) if other else tree, num, den)
+        i, j = self.ids[i], (other or self).ids[j]
+        return np.minimum(i, j), np.maximum(i, j)
+
     def box(self) -> bytes:
         return self.folded(min(self.groups, BOX)).max(0).tobytes()
 
@@ -359,23 +398,47 @@ def _over(boxes: list[bytes]) -> bytes:
 _NODE = "block long, i long, low long, high long, least long, most long, box binary"
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (block, klass, id, n, data) as leaves: part, at (their order), block, least and greatest size and class, points, box, body."""
-    part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
+_LEAVES = "part long, at long, block long, low long, high long, least long, most long, box binary, body binary, a long, b long"
+
+
+def _leaves(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (block, klass, id, n, data) as leaves: part, at (their order), block, least and greatest size and class, points, box, body.
+
+    A block that lies whole in one leaf is searched here and leaves its pairs (a, b) alone. The first and the last block of a task may go on elsewhere."""
+    names = [f.split()[0] for f in _LEAVES.split(", ")]
+    part, at, held, size, first, whole, pairs = TaskContext.get().partitionId(), 0, [], 0, True, True, []
+
+    def made() -> Leaf:
+        _, klass, ids, n, points = zip(*held, strict=True)
+        return Leaf(np.array(ids), np.array(n), np.array(klass), list(points))
 
     def leaf() -> pa.RecordBatch:
-        block, klass, ids, n, points = zip(*held, strict=True)
-        made = Leaf(np.array(ids), np.array(n), np.array(klass), list(points))
-        values = [part, at, block[0], min(n), max(n), min(klass), max(klass), made.box(), made.pack()]
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["part", "at", "block", "low", "high", "least", "most", "box", "body"])
+        x = made()
+        values = [part, at, held[0][0], x.n.min(), x.n.max(), x.klass.min(), x.klass.max(), x.box(), x.pack()]
+        return pa.RecordBatch.from_arrays([*(pa.array([v]) for v in values), *([pa.nulls(1, pa.int64())] * 2)], names)
+
+    def found() -> pa.RecordBatch:
+        some = [np.concatenate(x) for x in zip(*pairs, strict=True)]
+        n = len(some[0])
+        return pa.RecordBatch.from_arrays([*([pa.nulls(n, pa.int64())] * 7), *([pa.nulls(n, pa.binary())] * 2), *map(pa.array, some)], names)
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if held and (held[0][0] != row[0] or len(held) == LEAF or size > LEAF_BYTES):
-                yield leaf()
-                at, held, size = at + 1, [], 0
+                ended = held[0][0] != row[0]
+                if ended and whole and not first:
+                    pairs.append(made().pairs(num, den))
+                else:
+                    yield leaf()
+                    at += 1
+                first, whole, held, size = first and not ended, ended, [], 0
             held.append(row)
             size += len(row[4])
+        if sum(len(a) for a, _ in pairs) > 1 << 16:
+            yield found()
+            pairs = []
+    if pairs:
+        yield found()
     if held:
         yield leaf()
 
@@ -515,9 +578,9 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     first = known.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"))
     rep = scratch.save(hot_join(known, first, ["n", "hi", "lo"]).select("id", "rep", "n"), "rep")
     # candidates between classes: all, which make the blocks, and those whose sizes allow a link
-    link = scratch.save(base.where(F.col("kind") == LINK).select("a", "b").distinct(), "raw")
+    star = scratch.save(base.where(F.col("kind") == LINK).select("a", "b").distinct(), "raw")
     named = lambda k, m: rep.select(F.col("id").alias(k), F.col("rep").alias("r" + k), F.col("n").alias(m))
-    link = hot_join(link, named("a", "n"), ["a"]).join(named("b", "m"), "b").where("ra != rb")
+    link = hot_join(star, named("a", "n"), ["a"]).join(named("b", "m"), "b").where("ra != rb")
     less = F.col("ra") < F.col("rb")
     link = link.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.when(less, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(less, F.col("m")).otherwise(F.col("n")).alias("m"))
     link = scratch.save(link.distinct(), "candidates")
@@ -531,11 +594,22 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
 
     links = _verified(_tested(star, points, lambda n, raw: (n, raw), bound, parts), docs, width, num, den, parts, scratch, "star")
     klass = components(links, scratch, "class")
-    block = components(link, scratch, "block")
-    # blocks whose documents are in more than one class (the least and the greatest class differ: pre-aggregated, so no hot task)
-    member = scratch.save(block.join(klass.withColumnRenamed("component", "klass"), "id", "left").select("id", F.col("component").alias("block"), F.coalesce("klass", "id").alias("klass")), "members")
-    split = member.groupBy("block").agg(F.min("klass").alias("low"), F.max("klass").alias("high")).where("low != high").select("block")
-    rows = hot_join(member, split, ["block"]).join(points, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long"))
+    # blocks: the sets of a signature, where they are three or more (of two, the star is the pair)
+    by_block = base.where(F.col("kind") == LINK).select(F.col("hi").alias("block"), "a", "b").repartition(parts, "block")
+    several = by_block.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
+    signed = by_block.join(several, "block", "left_semi").select("block", F.explode(F.array("a", "b")).alias("id"))
+    member = scratch.save(signed.join(rep.select("id", "rep"), "id").select("block", F.col("rep").alias("id")).distinct(), "members")
+    mixed = scratch.save(_mixed(member, klass), "mixed")
+    # a star more for large blocks, each with a document of its own in the middle: near copies whose least is far from many of them are one class then
+    middle = mixed.where(F.col("c") >= MANY).groupBy("block").agg(F.min_by(F.struct("id", "klass"), F.xxhash64("block", "id")).alias("x"))
+    again = hot_join(mixed, middle, ["block"]).where("klass != x.klass").select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+    again = scratch.save(again.join(link, ["a", "b"], "left_anti"), "again")
+    if not again.isEmpty():
+        more = _verified(_tested(again, points, lambda n, raw: (n, raw), bound, parts), docs, width, num, den, parts, scratch, "more-star")
+        link, links = link.select("a", "b").union(again), links.union(more)
+        klass = components(links, scratch, "class-again")
+        mixed = scratch.save(_mixed(member, klass), "mixed-again")
+    rows = mixed.select("block", "id", "klass").join(points, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long"))
     rows = scratch.save(rows, "rows")
     final = klass if rows.isEmpty() else components(links.union(_across(rows, link, docs, width, num, den, parts, scratch)), scratch, "final")
     out = scratch.save(info.select("id", "n").join(rep.select("id", "rep"), "id", "left"), "reps")
@@ -545,24 +619,30 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     return scratch.keep(out.union(nameless), "result")
 
 
+def _mixed(member: DataFrame, klass: DataFrame) -> DataFrame:
+    """(block, id, klass, c): the c members of each block with three or more, in more than one class; one block of those with the same members."""
+    named = member.join(klass, "id", "left").select("block", "id", F.coalesce("component", "id").alias("klass"))
+    split = named.groupBy("block").agg(F.count("*").alias("c"), F.min("klass").alias("low"), F.max("klass").alias("high"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    split = split.where("low != high AND c > 2").groupBy("c", "x", "y").agg(F.min("block").alias("block")).select("block", "c")
+    return named.join(split, "block")
+
+
 def _across(rows: DataFrame, link: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
     """The links (a, b) between classes of one block that no star tested. rows: block, klass, id, n, data and size."""
     rows = rows.repartitionByRange(parts, "block", "size", "klass", "id").sortWithinPartitions("block", "size", "klass", "id")
-    packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(T.tidy(_leaves), "part long, at long, block long, low long, high long, least long, most long, box binary, body binary")
-    leaves = scratch.save(packed.withColumn("id", F.shiftleft("part", 40) + F.col("at")), "leaves")
+    packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(T.tidy(lambda it: _leaves(it, num, den)), _LEAVES)
+    made = scratch.save(packed.withColumn("id", F.shiftleft("part", 40) + F.col("at")), "leaves")
+    leaves, inside = made.where("a IS NULL").drop("a", "b"), made.where("a IS NOT NULL").select("a", "b")
     met = scratch.save(_leaf_pairs(leaves.drop("body"), num, den, scratch), "met")
 
     def search(a: int, x: Leaf, b: int, y: Leaf) -> list[tuple[int, int]]:
-        groups = min(x.groups, y.groups)
-        tree = x.tree(groups)
-        i, j = tree.join(tree if a == b else y.tree(groups), num, den)
-        i, j = x.ids[i], (x if a == b else y).ids[j]
-        return list(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True))
+        i, j = x.pairs(num, den, None if a == b else y)
+        return list(zip(i.tolist(), j.tolist(), strict=True))
 
     bodies = leaves.select("id", F.lit(0).cast("long").alias("n"), F.col("body").alias("data"))
     with small_batches(docs.sparkSession, 16):  # leaves are large
         more = scratch.save(_tested(met, bodies, lambda n, raw: Leaf.unpack(raw), search, 4 * parts), "more")
-    return _verified(more.distinct().join(link, ["a", "b"], "left_anti"), docs, width, num, den, parts, scratch, "rest")
+    return _verified(more.union(inside).distinct().join(link, ["a", "b"], "left_anti"), docs, width, num, den, parts, scratch, "rest")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

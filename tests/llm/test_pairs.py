@@ -171,6 +171,28 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
         assert sorted(map(str, graph.hot_join(big, small, ["k"], how).select("k", "v", "w").collect())) == sorted(map(str, big.join(small, ["k"], how).select("k", "v", "w").collect()))
 
 
+def test_unlike_documents_share_no_empty_groups():
+    """Sets at the low end of a band left more groups empty than their bands spare, offered them, and so met in signatures with all others that did."""
+    rng, bands = np.random.default_rng(4), jaccard.Bands(80, 100)
+    n = np.full(300, 316)
+    docs, keys = np.repeat(np.arange(300), 316), rng.integers(0, 1 << 63, 300 * 316).astype(np.uint64)
+    _, sig = jaccard.signatures(docs, keys, n, bands)
+    assert len(np.unique(sig)) == len(sig)
+
+
+def test_common_line_makes_no_large_block(spark, monkeypatch):
+    """Unlike documents that meet by several common lines stay in small blocks: what stars connect was one block of nearly all of them."""
+    found = []
+    across = jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda rows, *rest: found.extend(r["c"] for r in rows.groupBy("block").agg({"id": "count"}).toDF("block", "c").collect()) or across(rows, *rest))
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(5000)]
+    lines = [" ".join(rng.choices(words, k=30)) for _ in range(40)]
+    docs = [(i, " ".join([*rng.sample(lines, 2), *rng.choices(words, k=6)])) for i in range(600)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == plain_classes(docs, 4, 85, 100) and found and max(found) < 300
+
+
 def test_bands_never_lose_a_pair():
     bands = jaccard.Bands(85, 100)
     for a in range(1, 400):
