@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
 from marginalia.llm.graph import components, copied, dealt, hot_join, hot_keys
-from marginalia.session import Scratch, input_partitions, ship, small_batches
+from marginalia.session import Scratch, hand_back, input_partitions, ship, small_batches
 
 #: Groups of a point: the power of two from a set's size on, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 1 << 16
@@ -616,7 +616,9 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     out = hot_join(out, final.select(F.col("id").alias("rep"), "component"), ["rep"], "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     nameless = base.where((F.col("kind") == DOC) & F.col("a").isNull()).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return scratch.keep(out.union(nameless), "result")
+    out = scratch.keep(out.union(nameless), "result")
+    hand_back(spark)
+    return out
 
 
 def _mixed(member: DataFrame, klass: DataFrame) -> DataFrame:

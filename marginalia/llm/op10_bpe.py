@@ -36,9 +36,11 @@ from marginalia.llm import text as T
 from marginalia.session import ship
 
 #: Pieces that a worker remembers, and their bytes; when full it starts anew. A matter of speed only.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 600_000, 16 << 20
 #: Bytes of texts whose new pieces go through one queue.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
+#: Bytes of pre-tokens in one queue; it takes about fifty times as much.
+QUEUED = T.CHUNK
 #: Tokens that are spelled out at once.
 SPELLED = 1 << 18
 #: Entries up to which a bucket is taken one by one.
@@ -108,6 +110,15 @@ def taken(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begin - at[:-1], sizes) + np.arange(at[-1])
 
 
+def runs(held: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items, whose edges are given, of about that size together; a larger item stands alone."""
+    lo = 0
+    while lo < len(held) - 1:
+        hi = max(lo + 1, int(np.searchsorted(held, held[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 class Table:
     """Rows by distinct 64-bit hash, with open addressing; all look-ups of a batch go on together. It grows to stay half empty."""
 
@@ -353,9 +364,12 @@ class Bpe:
         bounds = list(zip(begins[order].tolist(), ends[order].tolist(), strict=True))
         together = int(plain.sum())
         seen: dict[str, int] = defaultdict(count().__next__)
-        found = self.pattern.findall(b"".join([raw[a:b] for a, b in bounds[:together]]).decode())
-        owners, held = [np.fromiter(map(seen.__getitem__, found), np.int64, len(found))], np.zeros(len(begins), np.int64)
-        del found
+        some, held = [np.empty(0, np.int64)], np.zeros(len(begins), np.int64)
+        for lo, hi in runs(edges((ends - begins)[order[:together]]), T.CHUNK // 4):
+            found = self.pattern.findall(b"".join([raw[a:b] for a, b in bounds[lo:hi]]).decode())
+            some.append(np.fromiter(map(seen.__getitem__, found), np.int64, len(found)))
+            del found
+        owners = [np.concatenate(some)]
         for k, (a, b) in enumerate(bounds[together:], together):
             found = self.pattern.findall(raw[a:b].decode())
             held[k] = len(found)
@@ -374,7 +388,7 @@ class Bpe:
         ids, sizes = [whole.astype(np.int32)], np.ones(len(pretokens), np.int64)
         begin, end = np.arange(len(pretokens)), len(pretokens)
         left = [pretokens[i] for i in rest.tolist()]
-        for lo, hi in T.chunks(left, 2 * T.CHUNK):
+        for lo, hi in T.chunks(left, QUEUED):
             some, n = self.encode_all(left[lo:hi])
             ids.append(some)
             sizes[rest[lo:hi]], begin[rest[lo:hi]] = n, end + edges(n)[:-1]
@@ -395,7 +409,7 @@ class Bpe:
             row[fresh] = rows[which]
             self.table.add(new, rows)
             self.ids, self.begin = np.concatenate([self.ids, ids]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(n)])
-            self.data = np.concatenate([self.data, buf[taken(b, e - b)]])
+            self.data = np.concatenate([self.data, *(buf[taken(b[i:j], (e - b)[i:j])] for i, j in runs(edges(e - b), T.CHUNK // 4))])
             self.data_begin = np.concatenate([self.data_begin, self.data_begin[-1] + np.cumsum(e - b)])
         return row if same(buf, begins, ends, self.data, self.data_begin[row], self.data_begin[row + 1]) else None
 
@@ -442,14 +456,7 @@ def same(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, other: np.ndarra
     size = ends - begins
     if not np.array_equal(size, to - theirs):
         return False
-    held = edges(size)
-    lo = 0
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(held, held[lo] + T.CHUNK, "right")) - 1)
-        if not np.array_equal(buf[taken(begins[lo:hi], size[lo:hi])], other[taken(theirs[lo:hi], size[lo:hi])]):
-            return False
-        lo = hi
-    return True
+    return all(np.array_equal(buf[taken(begins[lo:hi], size[lo:hi])], other[taken(theirs[lo:hi], size[lo:hi])]) for lo, hi in runs(edges(size), T.CHUNK // 4))
 
 
 #: Alternatives besides the runs of white space under which no match goes on over white space but for one space that begins it.

@@ -73,6 +73,12 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hand_back(spark: SparkSession) -> None:
+    """Each executor collects its garbage whole, so that the heap that shuffles left goes back to the system: what runs next in Python needs it."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 #: Bytes that small batches send to Python at once, about.
 BATCH_BYTES = 8 << 20
 

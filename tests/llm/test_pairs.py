@@ -193,6 +193,22 @@ def test_common_line_makes_no_large_block(spark, monkeypatch):
     assert got == plain_classes(docs, 4, 85, 100) and found and max(found) < 300
 
 
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_join_and_shards_hand_heap_back(spark, tmp_path):
+    """After their shuffles the executors' heap goes back to the system, since what runs next in Python needs the memory."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tokens = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d e f g")], "doc_id long, text string")
+    for step in (lambda: jaccard.join(df), lambda: shards.write(df, *tokens, f"file://{tmp_path}/out", 3)):
+        before = full_collections(spark)
+        step()
+        assert full_collections(spark) > before
+
+
 def test_bands_never_lose_a_pair():
     bands = jaccard.Bands(85, 100)
     for a in range(1, 400):
