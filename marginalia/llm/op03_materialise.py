@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
 from marginalia.llm.op10_bpe import Spelling, bpe, edges, encoded, taken
-from marginalia.session import Scratch, ship, small_batches
+from marginalia.session import Scratch, hand_back, ship, small_batches
 
 LENGTH = 256
 SHARD_SLOTS = 32_768
@@ -39,6 +39,8 @@ ROUNDS = 4
 HEADER = 16
 #: Rows in Python at once; batches also end at session.BATCH_BYTES.
 BATCH = 10_000
+#: Records that are laid out at once; their indexes take some twenty times as much.
+RECORDS = 1 << 12
 
 
 class Permutation:
@@ -124,7 +126,7 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n", "ids"])
 
     scratch = Scratch(spark, "sequences")
-    done = scratch.save(rows.mapInArrow(number, "doc_id long, part long, at long, n long, ids binary"), "ids", compression="zstd")
+    done = scratch.save(rows.mapInArrow(T.tidy(number), "doc_id long, part long, at long, n long, ids binary"), "ids", compression="zstd")
     first, total = {}, 0
     for r in sorted(done.groupBy("part").agg(F.sum("n").alias("n")).collect()):
         first[r["part"]] = total
@@ -138,7 +140,7 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
         """Records by slot, without what fills them up."""
         for batch in batches:
             sizes = batch.column(3).to_numpy()
-            for lo, hi in _ranges(sizes, 1 << 14):
+            for lo, hi in _ranges(sizes, RECORDS):
                 some, pieces = batch.slice(lo, hi - lo), sizes[lo:hi]
                 owner, begin = np.repeat(np.arange(hi - lo), pieces), edges(pieces)
                 texts, ids = some.column(4), some.column(0)
@@ -157,7 +159,7 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records of full stride, but for the line feed that the writer adds."""
-        for batch in batches:
+        for batch in (b.slice(lo, RECORDS) for b in batches for lo in range(0, b.num_rows, RECORDS)):
             width = pa.compute.binary_length(batch.column(1)).to_numpy().astype(np.int64)
             out = np.zeros(len(width), layout.body)
             out["ids"] = layout.end
@@ -166,11 +168,12 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
             yield pa.RecordBatch.from_arrays([pa.array((batch.column(0).to_numpy() // shard_slots).astype(np.int32)), _binary(raw, np.full(len(out), layout.body.itemsize))], ["shard", "value"])
 
     shards = -(-total // shard_slots)
-    cells = done.mapInArrow(cut, "slot long, record binary")
-    cells = cells.repartitionById(shards, (F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot").mapInArrow(fill, "shard int, value binary")
+    cells = done.mapInArrow(T.tidy(cut), "slot long, record binary")
+    cells = cells.repartitionById(shards, (F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot").mapInArrow(T.tidy(fill), "shard int, value binary")
     # the writer adds the line feed
     cells.select("shard", F.col("value").cast("string")).write.mode("overwrite").partitionBy("shard").text(out)
     scratch.drop()
+    hand_back(spark)
     return total, layout
 
 
