@@ -55,7 +55,7 @@ LEAF, LEAF_BYTES, FAN, BOX = 512, 2 << 20, 16, 512
 MANY = 64
 #: Rows in Python at once; batches also end at session.BATCH_BYTES.
 BATCH = 2000
-#: Ids that may be broadcast to filter the documents read again: 8 bytes each; more go by a shuffled semi-join.
+#: Ids that may be broadcast to filter the documents read again, and pairs that may be broadcast to their data: 8 bytes for each id; more go by shuffled joins.
 BROADCAST_IDS = 500_000
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
@@ -88,6 +88,21 @@ def point(keys: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def planes(raw: bytes) -> bytes:
+    """A point as tables and the network hold it: its bit planes, most of which are none, and their number; as it is where all eight are needed."""
+    p = np.frombuffer(raw, np.uint8)
+    k = max(1, int(p.max()).bit_length())
+    return raw if k == 8 else np.packbits(p >> np.arange(k, dtype=np.uint8)[:, None] & 1).tobytes() + bytes([k])
+
+
+def counts(raw: bytes) -> bytes:
+    """The point of its planes, whose length is odd."""
+    if len(raw) % 2 == 0:
+        return raw
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, len(raw) - 1)).reshape(raw[-1], -1)
+    return np.bitwise_or.reduce(bits << np.arange(raw[-1], dtype=np.uint8)[:, None]).tobytes()
+
+
 def folded(raw: bytes, n: int, groups: int) -> np.ndarray:
     """The point of a set of n shingles with so many groups, at most its own number, and after them what its bytes couldn't count."""
     p = np.frombuffer(raw, np.uint8)
@@ -201,6 +216,7 @@ def _links(sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -
 _MAPPED = pa.schema([("bucket", pa.int64()), ("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())])
 _MAPPED_DDL = "bucket long, kind tinyint, a long, b long, n long, hi long, lo long, data binary"
 DOC, LINK, RECORDS = 0, 1, 2
+RECORD = np.dtype([("s", "<u8"), ("d", "<i8")])
 
 
 def _batch(kind: int, size: int, **columns) -> pa.RecordBatch:
@@ -224,7 +240,7 @@ def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets
                 hi = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(keys))])
                 lo = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(keys ^ np.uint64(0xE7037ED1A0B428DB)))])
                 hi, lo = T.mix(hi[begin[1:]] - hi[begin[:-1]]), T.mix(lo[begin[1:]] - lo[begin[:-1]])
-            points = [point(keys[begin[k] : begin[k + 1]]) for k in range(m)]
+            points = [planes(point(keys[begin[k] : begin[k + 1]])) for k in range(m)]
             own = ids[i:j]
             shown = pa.array(own, mask=~named[i:j])
             yield _batch(DOC, m, bucket=own % buckets, a=shown, n=n, hi=hi.view(np.int64), lo=lo.view(np.int64), data=points)
@@ -244,24 +260,34 @@ def _mapped(batches: Iterator[pa.RecordBatch], width: int, bands: Bands, buckets
         s, d, *found = _stars(np.concatenate(sigs), np.concatenate(owners))
         yield from _links(*found)
         bucket = (s % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((d, bucket))
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        packed = np.empty(len(s), [("s", "<u8"), ("d", "<i8")])
-        packed["s"], packed["d"] = s[order], d[order]
-        parts = [p.tobytes() for p in np.split(packed, cuts[1:])] if len(s) else []
+        parts = [_packed(s[at], d[at]) for at in np.split(order, cuts[1:])] if len(s) else []
         if parts:
             yield _batch(RECORDS, len(parts), bucket=bucket[order][cuts], data=parts)
 
 
+def _packed(sig: np.ndarray, ids: np.ndarray) -> bytes:
+    """Records: the signatures, then the ids, whose first bytes come first, whose second bytes come next, and so on: like bytes lie together and compress."""
+    return sig.astype("<u8").tobytes() + ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 16
+    out = np.empty(n, RECORD)
+    out["s"] = np.frombuffer(raw, "<u8", n)
+    out["d"] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n).reshape(8, n).T).view("<i8").ravel()
+    return out
+
+
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents and links pass; the records of a bucket become links. What is held is one record for a signature."""
-    kind = np.dtype([("s", "<u8"), ("d", "<i8")])
-    held, waiting, size = np.empty(0, kind), [], 0
+    held, waiting, size = np.empty(0, RECORD), [], 0
 
     def reduce() -> tuple[np.ndarray, Iterator[pa.RecordBatch]]:
-        every = np.concatenate([held, *(np.frombuffer(x, kind) for x in waiting)])
+        every = np.concatenate([held, *map(_unpacked, waiting)])
         s, d, *found = _stars(every["s"], every["d"])
-        out = np.empty(len(s), kind)
+        out = np.empty(len(s), RECORD)
         out["s"], out["d"] = s, d
         return out, _links(*found)
 
@@ -423,7 +449,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         return pa.RecordBatch.from_arrays([*([pa.nulls(n, pa.int64())] * 7), *([pa.nulls(n, pa.binary())] * 2), *map(pa.array, some)], names)
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), map(counts, batch.column(4).to_pylist()), strict=True):
             if held and (held[0][0] != row[0] or len(held) == LEAF or size > LEAF_BYTES):
                 ended = held[0][0] != row[0]
                 if ended and whole and not first:
@@ -494,11 +520,15 @@ def _leaf_pairs(leaves: DataFrame, num: int, den: int, scratch: Scratch) -> Data
 def _tested(pairs: DataFrame, data: DataFrame, read: Callable, test: Callable, parts: int) -> DataFrame:
     """The pairs (a, b) that `test` gives for the pairs (a, b) of a saved table, whose ids data (id, n, data) explains.
 
-    b's data go to the pairs by a join; a's data lead the rows of a once in each task. Hot ids are dealt over several tasks."""
+    b's data go to the pairs by a join, where few pairs are sent to all data instead, so that data cross the network once, with their pairs;
+    a's data lead the rows of a once in each task. Hot ids are dealt over several tasks."""
+    few = pairs.count() <= BROADCAST_IDS
     hot = hot_keys(pairs.select("a"), ["a"])
-    right = dealt(pairs.select("a", "b"), ["a"], hot, "_turn")
-    right = hot_join(right, data.withColumnRenamed("id", "b"), ["b"], hot=hot_keys(pairs.select("b"), ["b"])).select("a", F.col("_turn").alias("_salt"), "b", "n", "data")
-    left = copied(data.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "a"), ["a"], hot)
+    right, bodies = dealt(pairs.select("a", "b"), ["a"], hot, "_turn"), data.withColumnRenamed("id", "b")
+    right = bodies.join(F.broadcast(right), "b") if few else hot_join(right, bodies, ["b"], hot=hot_keys(pairs.select("b"), ["b"]))
+    right = right.select("a", F.col("_turn").alias("_salt"), "b", "n", "data")
+    leads = pairs.select(F.col("a").alias("id")).distinct()
+    left = copied(data.join(F.broadcast(leads) if few else leads, "id", "left_semi").withColumnRenamed("id", "a"), ["a"], hot)
     left = left.select("a", "_salt", F.lit(None).cast("long").alias("b"), "n", "data")
     rows = left.union(right).repartition(parts, "a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
 
@@ -592,7 +622,7 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
         least = int(np.minimum(folded(x[1], x[0], groups), folded(y[1], y[0], groups)).sum(dtype=np.int64))
         return [(a, b)] if (den + num) * least >= num * (x[0] + y[0]) else []
 
-    links = _verified(_tested(star, points, lambda n, raw: (n, raw), bound, parts), docs, width, num, den, parts, scratch, "star")
+    links = _verified(_tested(star, points, lambda n, raw: (n, counts(raw)), bound, parts), docs, width, num, den, parts, scratch, "star")
     klass = components(links, scratch, "class")
     # blocks: the sets of a signature, where they are three or more (of two, the star is the pair)
     by_block = base.where(F.col("kind") == LINK).select(F.col("hi").alias("block"), "a", "b").repartition(parts, "block")
@@ -605,11 +635,11 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     again = hot_join(mixed, middle, ["block"]).where("klass != x.klass").select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
     again = scratch.save(again.join(link, ["a", "b"], "left_anti"), "again")
     if not again.isEmpty():
-        more = _verified(_tested(again, points, lambda n, raw: (n, raw), bound, parts), docs, width, num, den, parts, scratch, "more-star")
+        more = _verified(_tested(again, points, lambda n, raw: (n, counts(raw)), bound, parts), docs, width, num, den, parts, scratch, "more-star")
         link, links = link.select("a", "b").union(again), links.union(more)
         klass = components(links, scratch, "class-again")
         mixed = scratch.save(_mixed(member, klass), "mixed-again")
-    rows = mixed.select("block", "id", "klass").join(points, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long"))
+    rows = mixed.select("first", "block", "id", "klass").join(points, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num + 1e-9))).cast("long"))
     rows = scratch.save(rows, "rows")
     final = klass if rows.isEmpty() else components(links.union(_across(rows, link, docs, width, num, den, parts, scratch)), scratch, "final")
     out = scratch.save(info.select("id", "n").join(rep.select("id", "rep"), "id", "left"), "reps")
@@ -622,16 +652,19 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
 
 
 def _mixed(member: DataFrame, klass: DataFrame) -> DataFrame:
-    """(block, id, klass, c): the c members of each block with three or more, in more than one class; one block of those with the same members."""
+    """(block, id, klass, c, first): the c members, first the least, of each block with three or more, in more than one class; one block of those with the same members."""
     named = member.join(klass, "id", "left").select("block", "id", F.coalesce("component", "id").alias("klass"))
-    split = named.groupBy("block").agg(F.count("*").alias("c"), F.min("klass").alias("low"), F.max("klass").alias("high"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
-    split = split.where("low != high AND c > 2").groupBy("c", "x", "y").agg(F.min("block").alias("block")).select("block", "c")
+    split = named.groupBy("block").agg(F.count("*").alias("c"), F.min("id").alias("first"), F.min("klass").alias("low"), F.max("klass").alias("high"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    split = split.where("low != high AND c > 2").groupBy("c", "first", "x", "y").agg(F.min("block").alias("block")).select("block", "c", "first")
     return named.join(split, "block")
 
 
 def _across(rows: DataFrame, link: DataFrame, docs: DataFrame, width: int, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
-    """The links (a, b) between classes of one block that no star tested. rows: block, klass, id, n, data and size."""
-    rows = rows.repartitionByRange(parts, "block", "size", "klass", "id").sortWithinPartitions("block", "size", "klass", "id")
+    """The links (a, b) between classes of one block that no star tested. rows: block, klass, id, n, data, size, and first where it is known.
+
+    Blocks of one first member share most of their members: they go to one task or to neighbours, so what a shuffle writes for a member of them compresses."""
+    order = [c for c in ("first", "block", "size", "klass", "id") if c in rows.columns]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     packed = rows.select("block", "klass", "id", "n", "data").mapInArrow(T.tidy(lambda it: _leaves(it, num, den)), _LEAVES)
     made = scratch.save(packed.withColumn("id", F.shiftleft("part", 40) + F.col("at")), "leaves")
     leaves, inside = made.where("a IS NULL").drop("a", "b"), made.where("a IS NOT NULL").select("a", "b")

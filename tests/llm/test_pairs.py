@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -193,6 +194,36 @@ def test_common_line_makes_no_large_block(spark, monkeypatch):
     assert got == plain_classes(docs, 4, 85, 100) and found and max(found) < 300
 
 
+def test_points_and_records_as_the_network_holds_them():
+    """Points went as a byte for each group, records as pairs of eight bytes: neither compressed."""
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 60, 700, 5000):
+        p = jaccard.point(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        assert jaccard.counts(jaccard.planes(p)) == p and len(jaccard.planes(p)) < max(len(p) / 2, 64)
+    for counted in (127, 128, 255):
+        p = bytes([counted]) + bytes(63)
+        assert jaccard.counts(jaccard.planes(p)) == p
+    sig, ids = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), np.append(np.arange(-3, 496), 1 << 62)
+    raw = jaccard._packed(sig, ids)
+    again = jaccard._unpacked(raw)
+    assert again["s"].tolist() == sig.tolist() and again["d"].tolist() == ids.tolist() and len(jaccard._unpacked(b"")) == 0
+    assert len(zlib.compress(raw[4000:], 1)) < len(zlib.compress(np.ascontiguousarray(ids).tobytes(), 1)) and len(raw) == 8000
+
+
+def test_few_pairs_are_sent_to_their_data(spark, monkeypatch):
+    """All data were shuffled to few pairs, since the size of a dealt join was overrated; either way each pair is tested once."""
+    data = spark.createDataFrame([(i, i, bytes([i])) for i in range(100)], "id long, n long, data binary")
+    pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 99)]
+    test = lambda a, x, b, y: [(a, b)] if x == a and y == b else []
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for most in (1, 1000):
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
+        got = jaccard._tested(df, data, lambda n, raw: raw[0], test, 3)
+        assert sorted(map(tuple, got.collect())) == sorted(pairs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
 def full_collections(spark):
     beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
     return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
