@@ -683,7 +683,8 @@ def _across(rows: DataFrame, link: DataFrame, docs: DataFrame, width: int, num:
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that stand for their group: those whose doc_id is its least. Rows without a doc_id stay."""
     found = join(docs, width, num, den).where("component_id != doc_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    few = found.count() <= BROADCAST_IDS  # then no text crosses the network
+    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(*docs.columns)
 
 
 #: The whole result of op1 in DuckDB SQL.

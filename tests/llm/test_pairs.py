@@ -369,3 +369,21 @@ def test_shards_hold_the_ids(spark, tmp_path):
     record = np.frombuffer(file.read_bytes()[offset : offset + layout.stride], layout.record)[0]
     assert (record["doc_id"], record["seq"], record["n"]) == (r["doc_id"], r["seq"], r["n_tokens"])
     assert shards.write(df.where("false"), path, tokenizers.PATTERN, str(tmp_path / "none"), key=9)[0] == 0
+
+
+def test_one_of_each_sends_few_ids_to_the_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choices("abcdefghijklmnop", k=30))) for i in range(20)]
+    docs += [(i + 100, t) for i, t in docs[:7]] + [(None, docs[0][1]), (30, None), (31, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(((i, t) for i, t in docs if i is None or i < 100), key=str)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, shuffled in ((1000, False), (6, True)):
+            monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
+            out = jaccard.one_of_each(df)
+            assert sorted((tuple(r) for r in out.collect()), key=str) == want
+            assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
