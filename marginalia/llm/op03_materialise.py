@@ -11,7 +11,8 @@ through Hadoop's committer to any file system, a lost executor's work is done ag
 
 Documents are encoded once. Each task of that pass writes its documents' ids to the shared folder with the running number of their first
 sequence in the task; what is counted is one number for each task. The second pass reads what was written, so the numbers hold however the
-input's rows were dealt and however often a task runs.
+input's rows were dealt and however often a task runs. Records cross the network in compressed packs, each for one cell: a shard, or a part
+of one that is larger than what a task should hold.
 
 Defined results: a null or empty text is one sequence with the end only; a null doc_id stays null, negative ones are kept; repeated rows are
 sequences of their own; extra columns are ignored; an empty table writes no shard.
@@ -36,11 +37,12 @@ from marginalia.session import Scratch, hand_back, ship, small_batches
 LENGTH = 256
 SHARD_SLOTS = 32_768
 ROUNDS = 4
-HEADER = 16
 #: Rows in Python at once; batches also end at session.BATCH_BYTES.
 BATCH = 10_000
-#: Records that are laid out at once; their indexes take some twenty times as much.
+#: Records that are written at once.
 RECORDS = 1 << 12
+#: Records that are cut and packed at once, about, and bytes of shard that are filled at once, about.
+PACK, CELL_BYTES = 1 << 15, 32 << 20
 
 
 class Permutation:
@@ -136,11 +138,15 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
         return 0, layout
     order = Permutation(total, key)
 
+    shards = -(-total // shard_slots)
+    room = max(1, min(shard_slots, CELL_BYTES // layout.stride))  # slots of a cell
+    cells = -(-shard_slots // room)  # of a shard
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Records by slot, without what fills them up."""
+        """Packs of records of one cell, without what fills them up."""
         for batch in batches:
             sizes = batch.column(3).to_numpy()
-            for lo, hi in _ranges(sizes, RECORDS):
+            for lo, hi in _ranges(sizes, PACK):
                 some, pieces = batch.slice(lo, hi - lo), sizes[lo:hi]
                 owner, begin = np.repeat(np.arange(hi - lo), pieces), edges(pieces)
                 texts, ids = some.column(4), some.column(0)
@@ -150,33 +156,71 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
                 head["seq"] = seq | np.where(ids.is_null().to_numpy(zero_copy_only=False), 1 << 31, 0)[owner]
                 head["n"] = held = np.minimum(n[owner] - seq * length, length)
                 head["doc_id"] = ids.fill_null(-1).to_numpy()[owner]
-                width = HEADER + held * layout.kind.itemsize
-                data, at = np.empty(int(width.sum()), np.uint8), edges(width)[:-1]
-                data[at[:, None] + np.arange(HEADER)] = head.view(np.uint8).reshape(-1, HEADER)
-                data[taken(at + HEADER, width - HEADER)] = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+                first_id = edges(n)[owner] + seq * length
                 number = some.column(2).to_numpy() + np.array([first[p] for p in some.column(1).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(order.slots(number[owner] + seq)), _binary(data, width)], ["slot", "record"])
+                slot = order.slots(number[owner] + seq)
+                cell, place = slot // shard_slots * cells + slot % shard_slots // room, (slot % shard_slots % room).astype("<u4")
+                by = np.argsort(cell, kind="stable")
+                cell, place, head, held = cell[by], place[by], head[by], held[by]
+                data = np.frombuffer(b"".join(texts.to_pylist()), layout.kind)[taken(first_id[by], held)]
+                at, cuts = edges(held), np.flatnonzero(np.diff(cell, prepend=-1))
+                packs = [_packed(place[i:j], head[i:j], data[at[i] : at[j]]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cell)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[cuts]), pa.array(np.diff(cuts, append=len(cell))), pa.array(packs, pa.binary())], ["cell", "n", "pack"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Records of full stride, but for the line feed that the writer adds."""
-        for batch in (b.slice(lo, RECORDS) for b in batches for lo in range(0, b.num_rows, RECORDS)):
-            width = pa.compute.binary_length(batch.column(1)).to_numpy().astype(np.int64)
-            out = np.zeros(len(width), layout.body)
-            out["ids"] = layout.end
-            raw = out.view(np.uint8)
-            raw[taken(np.arange(len(width)) * layout.body.itemsize, width)] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array((batch.column(0).to_numpy() // shard_slots).astype(np.int32)), _binary(raw, np.full(len(out), layout.body.itemsize))], ["shard", "value"])
+        """A cell's records of full stride, by slot, but for the line feed that the writer adds. What is held is one cell."""
+        now, waiting = -1, []
+
+        def filled() -> Iterator[pa.RecordBatch]:
+            place, head, ids = (np.concatenate(x) for x in zip(*(_unpacked(n, raw, layout) for n, raw in waiting), strict=True))
+            by, at = np.argsort(place), edges(head["n"])
+            for lo in range(0, len(by), RECORDS):
+                some = by[lo : lo + RECORDS]
+                out = np.empty(len(some), layout.body)
+                for name in layout.head.names:
+                    out[name] = head[name][some]
+                held = out["n"].astype(np.int64)
+                rows = np.full((len(some), length), layout.end, layout.kind)
+                rows[np.arange(length) < held[:, None]] = ids[taken(at[some], held)]
+                out["ids"] = rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now // cells, np.int32)), _binary(out.view(np.uint8), np.full(len(out), layout.body.itemsize))], ["shard", "value"])
 
-    shards = -(-total // shard_slots)
-    cells = done.mapInArrow(T.tidy(cut), "slot long, record binary")
-    cells = cells.repartitionById(shards, (F.col("slot") / shard_slots).cast("int")).sortWithinPartitions("slot").mapInArrow(T.tidy(fill), "shard int, value binary")
+        for batch in batches:
+            for cell, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if cell != now and waiting:
+                    yield from filled()
+                    waiting.clear()
+                now = cell
+                waiting.append((n, raw))
+        if waiting:
+            yield from filled()
+
+    packs = done.mapInArrow(T.tidy(cut), "cell long, n long, pack binary")
+    packs = packs.repartitionById(shards, F.expr(f"cast(cell div {cells} as int)")).sortWithinPartitions("cell").mapInArrow(T.tidy(fill), "shard int, value binary")
     # the writer adds the line feed
-    cells.select("shard", F.col("value").cast("string")).write.mode("overwrite").partitionBy("shard").text(out)
+    packs.select("shard", F.col("value").cast("string")).write.mode("overwrite").partitionBy("shard").text(out)
     scratch.drop()
     hand_back(spark)
     return total, layout
 
 
+def _packed(place: np.ndarray, head: np.ndarray, ids: np.ndarray) -> bytes:
+    """Records as the network holds them: places, heads and ids, of each column all first bytes, then all second ones, compressed; their length before compression leads."""
+    raw = b"".join([np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in (place, head, ids)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(n: int, pack: bytes, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places, heads and ids of n packed records."""
+    size = int.from_bytes(pack[:8], "little")
+    raw, at, out = np.frombuffer(pa.decompress(pack[8:], size, codec="zstd", asbytes=True), np.uint8), 0, []
+    for kind in (np.dtype("<u4"), layout.head, layout.kind):
+        rows = n if len(out) < 2 else (size - at) // kind.itemsize
+        out.append(np.ascontiguousarray(raw[at : at + rows * kind.itemsize].reshape(kind.itemsize, rows).T).view(kind).ravel())
+        at += rows * kind.itemsize
+    return tuple(out)
+
+
 def _ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum up to about that; a larger one stands alone."""
     held, lo = edges(sizes), 0

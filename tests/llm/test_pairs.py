@@ -387,3 +387,27 @@ def test_one_of_each_sends_few_ids_to_the_texts(spark, monkeypatch):
             assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == shuffled
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_packs_of_records_are_small_and_whole(spark, tmp_path, monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    rng = np.random.default_rng(4)
+    for vocabulary, kind in ((50_000, "<u2"), (70_000, "<u4")):
+        layout = shards.Layout(vocabulary)
+        place, head = rng.permutation(900).astype("<u4"), np.zeros(900, layout.head)
+        head["doc_id"], head["seq"], head["n"] = rng.integers(-5, 1 << 40, 900), rng.integers(0, 9, 900), rng.integers(1, 257, 900)
+        ids = np.minimum(rng.zipf(1.3, int(head["n"].sum())), vocabulary).astype(kind)
+        pack = shards._packed(place, head, ids)
+        assert all((x == y).all() for x, y in zip(shards._unpacked(900, pack, layout), (place, head, ids), strict=True))
+        assert len(pack) < 0.7 * (head.nbytes + ids.nbytes)
+    # the shards are the same however many records a pack and a cell hold
+    docs = [(i, " ".join(f"w{i * k % 97}" for k in range(i % 50))) for i in range(300)] + [(None, "x"), (7, None), (8, "long " * 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for name, pack, cell, records in (("a", 1 << 15, 32 << 20, 1 << 12), ("b", 5, 400, 3)):
+        for what, most in (("PACK", pack), ("CELL_BYTES", cell), ("RECORDS", records)):
+            monkeypatch.setattr(shards, what, most)
+        total, layout = shards.write(df, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, str(tmp_path / name), key=5, length=16, shard_slots=64)
+        found.append({f.parent.name: f.read_bytes() for f in (tmp_path / name).glob("shard=*/part-*")})
+        assert sum(map(len, found[-1].values())) == total * layout.stride
+    assert found[0] == found[1] and len(found[0]) > 4
