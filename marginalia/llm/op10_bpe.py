@@ -202,8 +202,9 @@ class Bpe:
                     whole.append(i)
         keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array(whole, np.int64)[order]
-        self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        keys, ranks = keys[order], np.array(whole, np.int64)[order]
+        self.pairs = dict(zip(keys.tolist(), ranks.tolist(), strict=True))
+        self.keys, self.ranks = np.append(keys, np.iinfo(np.int64).max), np.append(ranks, -1)  # the last is beyond all pairs
         # the rank of each pair of bytes
         self.bytes = np.array([ids.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         # decimal ids with a comma before each
@@ -217,10 +218,10 @@ class Bpe:
         self.ids, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair, -1 if it isn't a token."""
+        """The rank of each pair, -1 if it isn't a token; with a negative id on either side the key is negative, as no token's is."""
         want = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where((self.keys[at] == want) & (left >= 0) & (right >= 0), self.ranks[at], -1)
+        at = np.searchsorted(self.keys, want)
+        return np.where(self.keys[at] == want, self.ranks[at], -1)
 
     def encode_all(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pre-tokens in order and how many each has, by one queue for all of them."""
@@ -240,6 +241,7 @@ class Bpe:
             first[place[1:] != place[:-1] + 1] = -1
             pair[place[:-1]] = first
         bitmap = Bitmap(len(self.tokens))
+        small = np.uint16 if len(self.tokens) <= 1 << 16 else np.int64  # 16 bits are sorted by radix
         buckets: dict[int, tuple[list[np.ndarray], list[int]]] = {}  # positions, many or one at a time
 
         def bucket(rank: int) -> tuple[list[np.ndarray], list[int]]:
@@ -255,7 +257,7 @@ class Bpe:
                 for r, p in zip(ranks[ok].tolist(), at[ok].tolist(), strict=True):
                     bucket(r)[1].append(p)
                 return
-            ok = ok[np.argsort(ranks[ok], kind="stable")]
+            ok = ok[np.argsort(ranks[ok].astype(small), kind="stable")]
             at, ranks = at[ok], ranks[ok]
             edge = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
             low = [0, *edge.tolist()]
@@ -316,10 +318,9 @@ class Bpe:
             ahead = ids[before[at]]
             met = then[:-1] == at[1:]  # the neighbour behind is merged in this step too
             some = met.any()
-            right = self.rank_of(same, ids[then])
             if some:
                 ahead[1:][met] = rank
-            left = self.rank_of(ahead, same)
+            right, left = self.rank_of(np.concatenate([same, ahead]), np.concatenate([ids[then], same])).reshape(2, -1)
             low = ((left >= 0) & (left < rank)) | ((right >= 0) & (right < rank))
             if low.any():
                 # a merge whose new pair ranks below it comes before the later entries of its pre-token

@@ -180,3 +180,11 @@ def test_bitmap():
             bitmap.add(i)
             plain.add(i)
         assert bitmap.first() == (min(plain) if plain else -1)
+
+
+def test_bpe_ranks_of_pairs_that_are_no_tokens():
+    """Ids below zero (breaks, merged places) and pairs beyond the last have no rank, in one pass with pairs that have one."""
+    coder = bpe.Bpe([bytes([b]) for b in range(256)] + [b"ab", b"\xff\xff"], r"(?s).+")
+    assert len(coder.keys) == 3 and coder.keys[-1] == np.iinfo(np.int64).max
+    left, right = np.array([97, -1, 97, -2, 255, 255, 257, -1]), np.array([98, 98, -1, -2, 255, 256, 257, 0])
+    assert coder.rank_of(left, right).tolist() == [256, -1, -1, -1, 257, -1, -1, -1]
