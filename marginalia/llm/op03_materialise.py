@@ -12,7 +12,7 @@ through Hadoop's committer to any file system, a lost executor's work is done ag
 Documents are encoded once. Each task of that pass writes its documents' ids to the shared folder with the running number of their first
 sequence in the task; what is counted is one number for each task. The second pass reads what was written, so the numbers hold however the
 input's rows were dealt and however often a task runs. Records cross the network in compressed packs, each for one cell: a shard, or a part
-of one that is larger than what a task should hold.
+of one that is larger than what a task should hold. In packs ids are numbered by how frequent they are among the first ones of each task.
 
 Defined results: a null or empty text is one sequence with the end only; a null doc_id stays null, negative ones are kept; repeated rows are
 sequences of their own; extra columns are ignored; an empty table writes no shard.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import text as T
-from marginalia.llm.op10_bpe import Spelling, bpe, edges, encoded, taken
+from marginalia.llm.op10_bpe import Bpe, Spelling, Table, edges, encoded, load_ranks, taken
 from marginalia.session import Scratch, hand_back, ship, small_batches
 
 LENGTH = 256
@@ -39,10 +39,106 @@ SHARD_SLOTS = 32_768
 ROUNDS = 4
 #: Rows in Python at once; batches also end at session.BATCH_BYTES.
 BATCH = 10_000
+#: Bytes of a pre-token up to which it is encoded side by side with others.
+SHORT = 32
 #: Records that are written at once.
 RECORDS = 1 << 12
 #: Records that are cut and packed at once, about, and bytes of shard that are filled at once, about.
 PACK, CELL_BYTES = 1 << 15, 32 << 20
+#: Ids of each task from which the frequent ones are told, and how hard packs are compressed; both matter for the packs' size only.
+SEEN, LEVEL = 2048, 3
+
+
+class Columns(Bpe):
+    """Encodes short pre-tokens side by side, one merge of each at a time; longer ones go through the queue.
+
+    Pre-tokens of as many symbols are the columns of one table, from those of the most symbols on. A column's pair of the lowest rank, of several
+    the leftmost, is merged, so it moves to the table with one symbol less; a column without a pair that is a token is done. A pre-token of n
+    bytes takes O(n * n), hence the limit SHORT."""
+
+    #: The rank, shifted by this, and the place of a pair are one number; what isn't a token has a higher number than all ranks.
+    SHIFT, NONE = 6, 1 << 30
+
+    def __init__(self, tokens: list[bytes], pattern: str):
+        super().__init__(tokens, pattern)
+        if len(tokens) >= self.NONE >> self.SHIFT:
+            raise ValueError("too many tokens")
+        self.made = Table()
+        self.made.add(self._key(self.keys[:-1] >> 32, self.keys[:-1] & 0xFFFFFFFF), self.ranks[:-1])
+        self.first = self._ordered(self.bytes)
+
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """A pair as a number of 64 bits, other than 0; pairs of different ids have different ones, since the factor is odd."""
+        return ((left.astype(np.uint64) + np.uint64(1)) << np.uint64(32) | right.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+
+    def _ordered(self, ranks: np.ndarray) -> np.ndarray:
+        return np.where(ranks >= 0, ranks << self.SHIFT, self.NONE).astype(np.int32)
+
+    def encode_all(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
+        short, long = np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT)
+        some = [pretokens[i] for i in short.tolist()] if len(long) else pretokens
+        n = np.zeros(len(pretokens), np.int64)
+        done = list(self._tables(np.frombuffer(b"".join(some), np.uint8), sizes[short]))
+        for who, ids in done:
+            n[short[who]] = len(ids)
+        queued, n[long] = super().encode_all([pretokens[i] for i in long.tolist()]) if len(long) else (np.empty(0, np.int32), 0)
+        at = edges(n)
+        out = np.empty(int(at[-1]), np.int32)
+        out[taken(at[long], n[long])] = queued
+        for who, ids in done:
+            begin = at[short[who]]
+            for k, row in enumerate(ids):
+                out[begin + k] = row
+        return out, n
+
+    def _tables(self, raw: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pre-tokens that are done (their numbers) and their ids, a row for each symbol."""
+        begin = edges(sizes)[:-1]
+        by = np.argsort(sizes.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(sizes[by], np.arange(int(sizes.max(initial=0)) + 2))
+        who, ids, pair = np.empty(0, np.int64), np.empty((0, 0), np.int32), np.empty((0, 0), np.int32)
+        for m in range(len(cuts) - 2, 0, -1):
+            fresh = by[cuts[m] : cuts[m + 1]]
+            spelled = raw[begin[fresh] + np.arange(m)[:, None]]
+            new = self.byte[spelled].astype(np.int32)
+            two = self.first[spelled[:-1].astype(np.int64) << 8 | spelled[1:]]
+            if len(who):
+                who, ids, pair = np.concatenate([who, fresh]), np.concatenate([ids, new], axis=1), np.concatenate([pair, two], axis=1)
+            else:
+                who, ids, pair = fresh, new, two
+            best = np.full(len(who), self.NONE, np.int32)
+            for k in range(m - 1):
+                np.minimum(best, pair[k] + k, out=best)
+            over = best >= self.NONE
+            if over.any():
+                yield who[over], ids[:, over]
+                on = np.flatnonzero(~over)
+                who, ids, pair, best = who[on], ids[:, on], pair[:, on], best[on]
+            # two symbols become one; what stands behind them moves up
+            cut, rank = best & (1 << self.SHIFT) - 1, best >> self.SHIFT
+            for k in range(m - 1):
+                behind = cut <= k
+                np.copyto(ids[k], ids[k + 1], where=behind)
+                if k < m - 2:
+                    np.copyto(pair[k], pair[k + 1], where=behind)
+            ids, pair, column = ids[: m - 1], pair[: max(m - 2, 0)], np.arange(len(who))
+            ids[cut, column] = rank
+            left, right = np.flatnonzero(cut > 0), np.flatnonzero(cut < m - 2)
+            a = np.concatenate([ids[cut[left] - 1, left], rank[right]])
+            b = np.concatenate([rank[left], ids[cut[right] + 1, right]])
+            found = self._ordered(self.made.find(self._key(a, b)))
+            pair[cut[left] - 1, left], pair[cut[right], right] = found[: len(left)], found[len(left) :]
+
+
+_cached: dict[tuple[str, str], Columns] = {}
+
+
+def bpe(path: str, pattern: str) -> Columns:
+    if (path, pattern) not in _cached:
+        _cached[path, pattern] = Columns(load_ranks(path), pattern)
+    return _cached[path, pattern]
 
 
 class Permutation:
@@ -129,14 +225,20 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
 
     scratch = Scratch(spark, "sequences")
     done = scratch.save(rows.mapInArrow(T.tidy(number), "doc_id long, part long, at long, n long, ids binary"), "ids", compression="zstd")
-    first, total = {}, 0
-    for r in sorted(done.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+    first, total, seen = {}, 0, []
+    some = F.first(F.expr(f"substring(ids, 1, {SEEN * layout.kind.itemsize})")).alias("ids")
+    for r in sorted(done.groupBy("part").agg(F.sum("n").alias("n"), some).collect()):
         first[r["part"]] = total
         total += r["n"]
+        seen.append(np.frombuffer(r["ids"], layout.kind))
     if not total:
         scratch.drop()
         return 0, layout
     order = Permutation(total, key)
+    # the ids by frequency in what was seen, for the packs: frequent ones take a byte
+    of = np.argsort(-np.bincount(np.concatenate(seen), minlength=layout.end + 1), kind="stable").astype(layout.kind)
+    numbers = np.empty_like(of)
+    numbers[of] = np.arange(len(of))
 
     shards = -(-total // shard_slots)
     room = max(1, min(shard_slots, CELL_BYTES // layout.stride))  # slots of a cell
@@ -164,7 +266,7 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
                 cell, place, head, held = cell[by], place[by], head[by], held[by]
                 data = np.frombuffer(b"".join(texts.to_pylist()), layout.kind)[taken(first_id[by], held)]
                 at, cuts = edges(held), np.flatnonzero(np.diff(cell, prepend=-1))
-                packs = [_packed(place[i:j], head[i:j], data[at[i] : at[j]]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cell)], strict=True)]
+                packs = [_packed(place[i:j], head[i:j], data[at[i] : at[j]], numbers) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cell)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cell[cuts]), pa.array(np.diff(cuts, append=len(cell))), pa.array(packs, pa.binary())], ["cell", "n", "pack"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +274,7 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
         now, waiting = -1, []
 
         def filled() -> Iterator[pa.RecordBatch]:
-            place, head, ids = (np.concatenate(x) for x in zip(*(_unpacked(n, raw, layout) for n, raw in waiting), strict=True))
+            place, head, ids = (np.concatenate(x) for x in zip(*(_unpacked(n, raw, layout, of) for n, raw in waiting), strict=True))
             by, at = np.argsort(place), edges(head["n"])
             for lo in range(0, len(by), RECORDS):
                 some = by[lo : lo + RECORDS]
@@ -204,21 +306,48 @@ def _write(docs: DataFrame, path: str, pattern: str, out: str, key: int, length:
     return total, layout
 
 
-def _packed(place: np.ndarray, head: np.ndarray, ids: np.ndarray) -> bytes:
-    """Records as the network holds them: places, heads and ids, of each column all first bytes, then all second ones, compressed; their length before compression leads."""
-    raw = b"".join([np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in (place, head, ids)])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpacked(n: int, pack: bytes, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places, heads and ids of n packed records."""
+def _short(numbers: np.ndarray) -> np.ndarray:
+    """Small numbers (below 2**28) in few bytes: seven bits in each from the highest on, all but a number's last with the top bit."""
+    numbers = numbers.astype(np.int64)
+    size = np.ones(len(numbers), np.int64)
+    for k in (1, 2, 3):
+        size += numbers >> 7 * k > 0
+    end = np.cumsum(size) - 1
+    out = np.empty(int(size.sum()), np.uint8)
+    out[end] = numbers & 0x7F
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[end[more] - k] = numbers[more] >> 7 * k & 0x7F | 0x80
+    return out
+
+
+def _long(raw: np.ndarray) -> np.ndarray:
+    """The numbers that _short wrote."""
+    end = np.flatnonzero(raw < 0x80)
+    size, out = np.diff(end, prepend=-1), raw[end].astype(np.int64)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[more] |= (raw[end[more] - k] & 0x7F).astype(np.int64) << 7 * k
+    return out
+
+
+def _packed(place: np.ndarray, head: np.ndarray, ids: np.ndarray, numbers: np.ndarray | None = None) -> bytes:
+    """Records as the network holds them: places and heads, of each column all first bytes, then all second ones, and the ids (if given, their numbers
+    instead) in few bytes, compressed; their length before compression leads."""
+    raw = b"".join([np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in (place, head)])
+    raw += _short(ids if numbers is None else numbers[ids]).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def _unpacked(n: int, pack: bytes, layout: Layout, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places, heads and ids of n packed records; of: the id of each number, if the ids were numbered."""
     size = int.from_bytes(pack[:8], "little")
     raw, at, out = np.frombuffer(pa.decompress(pack[8:], size, codec="zstd", asbytes=True), np.uint8), 0, []
-    for kind in (np.dtype("<u4"), layout.head, layout.kind):
-        rows = n if len(out) < 2 else (size - at) // kind.itemsize
-        out.append(np.ascontiguousarray(raw[at : at + rows * kind.itemsize].reshape(kind.itemsize, rows).T).view(kind).ravel())
-        at += rows * kind.itemsize
-    return tuple(out)
+    for kind in (np.dtype("<u4"), layout.head):
+        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    ids = _long(raw[at:])
+    return *out, (ids if of is None else of[ids]).astype(layout.kind)
 
 
 def _ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -411,3 +411,49 @@ def test_packs_of_records_are_small_and_whole(spark, tmp_path, monkeypatch):
         found.append({f.parent.name: f.read_bytes() for f in (tmp_path / name).glob("shard=*/part-*")})
         assert sum(map(len, found[-1].values())) == total * layout.stride
     assert found[0] == found[1] and len(found[0]) > 4
+
+
+def test_short_pretokens_go_side_by_side(monkeypatch):
+    """They have the ids that the queue gives, which only the long ones enter."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    queued = []
+    queue = shards.Bpe.encode_all
+    monkeypatch.setattr(shards.Bpe, "encode_all", lambda self, some: queued.extend(some) or queue(self, some))
+    coder = shards.bpe(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    coder.forget()
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["the", "zq", "日本", "é", "aaa", "!?", "7", " ", "\n"], k=rng.randint(0, 30))) for _ in range(500)]
+    texts += ["a" * n for n in range(1, 70)] + ["x" + "é" * n for n in (15, 16)]
+    peer = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(coder.tokens)}, special_tokens={})
+    ids, n = coder.encode_texts([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [peer.encode_ordinary(t) for t in texts]
+    assert queued and min(map(len, queued)) > shards.SHORT
+    # ranks in no order, pairs of one id, a merge whose new pair ranks lower, no pair at all, nothing
+    tokens = [bytes([b]) for b in range(256)] + list({"".join(rng.choices("abc", k=rng.randint(2, 6))).encode(): 0 for _ in range(150)}) + [b"\0\0"]
+    rng.shuffle(tokens)
+    some = ["".join(rng.choices("abcd", k=rng.randint(0, 40))).encode() for _ in range(800)] + [b"", b"\0" * 7, b"d" * 9]
+    got, want = (kind(tokens, r"(?s).+").encode_all(some) for kind in (shards.Columns, shards.Bpe))
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    single = shards.Columns([bytes([b]) for b in range(256)], r"(?s).+")
+    assert single.encode_all([b"ab"])[0].tolist() == [97, 98] and [len(x) for x in single.encode_all([])] == [0, 0]
+
+
+def test_packs_number_ids_by_frequency():
+    """Ids that are frequent take a byte each, whatever they are."""
+    edge = np.array([0, 127, 128, 16_383, 16_384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1])
+    assert shards._long(shards._short(edge)).tolist() == edge.tolist() and len(shards._short(edge)) == 1 + 1 + 2 + 2 + 3 + 3 + 4 + 4
+    assert len(shards._long(shards._short(edge[:0]))) == 0
+    rng = np.random.default_rng(7)
+    for vocabulary in (50_000, 300_000):
+        layout = shards.Layout(vocabulary)
+        of = rng.permutation(vocabulary + 1).astype(layout.kind)
+        numbers = np.empty_like(of)
+        numbers[of] = np.arange(len(of))
+        head = np.zeros(300, layout.head)
+        head["n"] = 200
+        place, ids = np.arange(300, dtype="<u4"), of[np.minimum(rng.zipf(1.3, 60_000), vocabulary)]
+        pack = shards._packed(place, head, ids, numbers)
+        assert all((x == y).all() for x, y in zip(shards._unpacked(300, pack, layout, of), (place, head, ids), strict=True))
+        planes = np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes()
+        assert len(pack) < 0.9 * len(shards.pa.compress(planes, codec="zstd", asbytes=True))
