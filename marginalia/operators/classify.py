@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import rules
-from marginalia.functions.text import any_of, comment_text, fence, legal_marker
+from marginalia.functions.text import any_of, comment_text, contains_any, fence, legal_marker
 
 
 def _ordered(values: list[str]) -> str:
@@ -36,10 +36,10 @@ def _own_patterns() -> dict[str, str]:
 
 def directive(lower: Column, raw: Column, language: Column) -> Column:
     """The directive that a comment is, or null. lower: its trimmed lower-case text; raw: its bytes as ISO-8859-1."""
-    compact = F.regexp_replace(lower, r"^[!/*#@ ]+", "")
-    mise = F.regexp_extract(raw, r"^(?:#|//)\s*(?:\[(MISE|USAGE)\]|(MISE|USAGE)(?=\s|$))", 0)
+    compact = F.ltrim(lower, F.lit("!/*#@ "))
+    mise = F.when(raw.startswith("#") | raw.startswith("//"), F.regexp_extract(raw, r"^(?:#|//)\s*(?:\[(MISE|USAGE)\]|(MISE|USAGE)(?=\s|$))", 0))
     mise = F.when(mise.contains("MISE"), "MISE").when(mise.contains("USAGE"), "USAGE")
-    biome = F.regexp_extract(lower, r"(?m)^[\s*]*(" + any_of(rules.SUPPRESSIONS) + r")(?=[\s:(/]|$)", 1)
+    biome = F.when(contains_any(lower, rules.SUPPRESSIONS), F.regexp_extract(lower, r"(?m)^[\s*]*(" + any_of(rules.SUPPRESSIONS) + r")(?=[\s:(/]|$)", 1))
     common = f"^((?:{_ordered(rules.COMMON_DIRECTIVES)})|(?:{_ordered(rules.COMMON_KEYWORDS)})(?![A-Za-z0-9_-]))"
     found = F.coalesce(mise, F.when(biome != "", biome), _found(compact, F.lit(common)))
     own = _found(compact, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _own_patterns().items() for x in pair]), language), F.lit("^((?!))")))

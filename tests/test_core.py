@@ -1,12 +1,14 @@
 """Classification, verdicts, shape rules, layouts, maps, aggregates, sources and live documents."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia import queries
 from marginalia.functions import rules
-from marginalia.functions.text import age_days, column_of, extension_label, glob_regex, latin, line_of, opening_tag, percent_encode
+from marginalia.functions.text import age_days, column_of, comment_text, extension_label, glob_regex, latin, line_of, opening_tag, percent_encode
 from marginalia.operators.classify import classify
 from marginalia.operators.detect import detect, interpreter
 from marginalia.operators.layout import applied, plan, plan_edits, source_map, through
@@ -282,3 +284,19 @@ def test_own_prefixes_and_whole_heads(spark):
     head = "x" * 9000 + "\n" + "// " + "y" * 600 + " @generated\n"
     files = spark.createDataFrame([("a.c", bytearray(head.encode())), ("b.c", bytearray(b"plain")), ("c." + detect.rules.GENERATED_EXTENSIONS[0].upper(), bytearray(b"x"))], "path string, content binary")
     assert {r["path"]: r["g"] for r in files.select("path", detect.generated(files.content, files.path).alias("g")).collect()} == {"a.c": "@generated" in detect.rules.GENERATED_HEADERS, "b.c": False, "c." + detect.rules.GENERATED_EXTENSIONS[0].upper(): True}
+
+
+@pytest.mark.parametrize("name", ["license_lines", "unused_settings", "ratchet_drift"])
+def test_a_filter_on_kinds_leaves_their_text_computed_once(spark, name):
+    """The optimizer must not put a comment's lower-case text into what refers to it: it did, dozens of times for each line."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_comment_text_takes_off_the_longest_marks(spark):
+    marks = [*rules.OPENERS, *rules.CLOSERS, "", "/", "-", "*", "x", " ", "é", "\n"]
+    raws = [a + b + c for a in marks for b in ("", "x é", "*") for c in marks]
+    opener = re.compile("^(?:" + "|".join(re.escape(v) for v in sorted(rules.OPENERS, key=lambda v: -len(v))) + ")")
+    closer = re.compile("(?:" + "|".join(map(re.escape, rules.CLOSERS)) + r")\Z")
+    got = spark.createDataFrame([(x,) for x in raws], "raw string").select(comment_text(F.col("raw"))).collect()
+    assert [r[0] for r in got] == [closer.sub("", opener.sub("", x)) for x in raws]
