@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from marginalia.functions import rules
 from marginalia.functions.text import as_bytes, latin
 from marginalia.operators.lexing import scan, scan_profile
-from marginalia.session import ship
+from marginalia.session import ship, slices
 
 _REPORT = "path string, content binary, language string, dialect string, comments array<struct<idx:int,span_start:long,span_end:long,lexical_kind:string>>, errors array<struct<code:string,span_start:long,span_end:long>>"
 _COMMENT = pa.list_(pa.struct([("idx", pa.int32()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("lexical_kind", pa.string())]))
 _ERROR = pa.list_(pa.struct([("code", pa.string()), ("span_start", pa.int64()), ("span_end", pa.int64())]))
 
 
-def reports(sources: DataFrame, profiles: dict[str, dict] | None = None) -> DataFrame:
-    """path, content, language, dialect with arrays of comments and errors: one row for each source, the source scanned once.
+def reports(sources: DataFrame, profiles: dict[str, dict] | None = None, content: bool = True) -> DataFrame:
+    """path, content (unless it isn't asked for), language, dialect with arrays of comments and errors: one row for each source, the source scanned once.
 
     A source whose language is `profile:<name>` is scanned by that declarative profile.
     """
@@ -27,19 +27,20 @@ def reports(sources: DataFrame, profiles: dict[str, dict] | None = None) -> Data
     profiles = profiles or {}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "content"):
             d = batch.to_pydict()
             found = []
-            for content, language, dialect in zip(d["content"], d["language"], d["dialect"], strict=True):
+            for source, language, dialect in zip(d["content"], d["language"], d["dialect"], strict=True):
                 if language and language.startswith("profile:"):
-                    found.append(scan_profile(content or b"", profiles[language[8:]]))
+                    found.append(scan_profile(source or b"", profiles[language[8:]]))
                 else:
-                    found.append(scan(content, language, dialect))
+                    found.append(scan(source, language, dialect))
             comments = [[{"idx": i, "span_start": a, "span_end": b, "lexical_kind": k} for i, (a, b, k) in enumerate(c)] for c, _ in found]
             errors = [[{"code": c, "span_start": a, "span_end": b} for c, a, b in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(comments, _COMMENT), pa.array(errors, _ERROR)], [*batch.schema.names, "comments", "errors"])
+            given = [n for n in batch.schema.names if content or n != "content"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in given), pa.array(comments, _COMMENT), pa.array(errors, _ERROR)], [*given, "comments", "errors"])
 
-    return sources.select("path", F.col("content").cast("binary"), "language", "dialect").mapInArrow(rows, _REPORT)
+    return sources.select("path", F.col("content").cast("binary"), "language", "dialect").mapInArrow(rows, _REPORT if content else _REPORT.replace("content binary, ", ""))
 
 
 def comments(report: DataFrame) -> DataFrame:

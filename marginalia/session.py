@@ -7,8 +7,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
@@ -98,6 +102,32 @@ def small_batches(spark: SparkSession, rows: int):
             spark.conf.set(name, value)
 
 
+#: Bytes of a batch that are Python objects at once, about.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], *sized: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most about SLICE_BYTES in the named columns (binary, text, or lists of text); a larger row stands alone.
+    What a part makes is gone before the next, so a worker holds one batch and what one part needs, however many rows a batch has."""
+    for batch in batches:
+        ends = np.zeros(batch.num_rows, np.int64)
+        for name in sized:
+            column = batch.column(batch.schema.get_field_index(name))
+            if pa.types.is_list(column.type):
+                starts = column.offsets.to_numpy()
+                inner = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column.values), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 50)])
+                ends += np.diff(inner[starts])
+            else:
+                ends += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(ends + 50)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+        del batch
+
+
 def input_partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Shuffle partitions for an operator that moves about as much as df holds: the session's number, or more where the estimated size asks for it."""
     spark = df.sparkSession

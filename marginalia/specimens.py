@@ -92,7 +92,7 @@ def _lexer(language: str, dialect: str, program: str) -> Callable[[SparkSession,
         inside = {"§s": F.regexp_replace(text, NOT_IN_STRINGS, " "), "§c": F.regexp_replace(text, NOT_IN_COMMENTS, " ")}
         sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), _program(program, inside).cast("binary").alias("content"), F.lit(language).alias("language"), F.lit(dialect).alias("dialect"))
         span = lambda c: F.concat_ws("-", c["lexical_kind"], c["span_start"], c["span_end"])
-        return lex.reports(sources).select(F.col("path").cast("long").alias("doc_id"), F.array_join(F.transform("comments", span), ",").alias("spans"), F.size("errors").cast("long").alias("errors"))
+        return lex.reports(sources, content=False).select(F.col("path").cast("long").alias("doc_id"), F.array_join(F.transform("comments", span), ",").alias("spans"), F.size("errors").cast("long").alias("errors"))
 
     query.__doc__ = f"Spans of the comments of a {language} program with each document in its strings and comments."
     return query

@@ -3,12 +3,14 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia import queries
 from marginalia.functions import rules
 from marginalia.functions.text import age_days, column_of, comment_text, extension_label, glob_regex, latin, line_of, opening_tag, percent_encode
+from marginalia.operators import lex
 from marginalia.operators.classify import classify
 from marginalia.operators.detect import detect, interpreter
 from marginalia.operators.layout import applied, plan, plan_edits, source_map, through
@@ -17,6 +19,7 @@ from marginalia.operators.style import reflow, sentences, space_after_marker, tr
 from marginalia.operators.verdict import Options, decide
 from marginalia.plans import analyse, reports
 from marginalia.schema import KINDS, POLICIES
+from marginalia.session import SLICE_BYTES, slices
 from marginalia.sources.files import read_tree, route
 from marginalia.streaming.documents import EDITS, follow, live, to_bytes
 
@@ -300,3 +303,22 @@ def test_comment_text_takes_off_the_longest_marks(spark):
     closer = re.compile("(?:" + "|".join(map(re.escape, rules.CLOSERS)) + r")\Z")
     got = spark.createDataFrame([(x,) for x in raws], "raw string").select(comment_text(F.col("raw"))).collect()
     assert [r[0] for r in got] == [closer.sub("", opener.sub("", x)) for x in raws]
+
+
+def test_batches_go_to_python_objects_in_small_parts():
+    """All rows in order, in parts bounded by bytes and not by rows; null rows, slices and a row beyond the bound are no exception."""
+    size = SLICE_BYTES // 4
+    blobs = [b"x" * size] * 9 + [None, b""] + [b"y" * (3 * SLICE_BYTES)] + [b"z"] * 5
+    lists = [None if b is None else ["a" * (len(b) // 2), "b", None] for b in blobs]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(blobs))), "content": pa.array(blobs, pa.binary()), "lines": pa.array(lists, pa.list_(pa.string()))}).slice(1)
+    for named in (("content",), ("lines",), ("content", "lines")):
+        parts = list(slices(iter([batch, batch.slice(0, 0), batch]), *named))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == 2 * list(range(1, len(blobs)))
+        assert all(p.num_rows == 1 or sum(len(b or b"") for b in p.column(1).to_pylist()) * (1 if "content" in named else 0.5) <= SLICE_BYTES for p in parts)
+        assert len(parts) > 2
+
+
+def test_reports_send_parts_of_a_batch_and_no_content_unless_asked(spark):
+    src = sources(spark, *((str(i), "int a; // " + "x" * 600_000, "c") for i in range(4))).coalesce(1)
+    assert "content" not in lex.reports(src, content=False).columns
+    assert {(r["path"], len(r["comments"])) for r in lex.reports(src, content=False).collect()} == {(str(i), 1) for i in range(4)}
