@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import annotation_escape, column_of, line_of, percent_encode
-from marginalia.session import ship
+from marginalia.session import ship, slices
 
 
 def positions(judged: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def diffs(transformed: DataFrame, context: int = 3) -> DataFrame:
     ship(transformed.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "content", "output"):
             d = batch.to_pydict()
             out = []
             for path, a, b in zip(d["path"], d["content"], d["output"], strict=True):
