@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import rules
 from marginalia.functions.text import any_of
-from marginalia.session import ship
+from marginalia.session import ship, slices
 
 #: Words whose full stop ends no sentence.
 ABBREVIATIONS = "e.g i.e etc vs cf al approx no fig eq sec vol pp dr mr mrs ms prof st".split()
@@ -118,7 +118,7 @@ def reflowed(runs: DataFrame, wrap: str = "sentence") -> DataFrame:
     ship(runs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "lines"):
             lines = batch.column(batch.schema.get_field_index("lines")).to_pylist()
             new = [reflow(x, wrap) for x in lines]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.list_(pa.string())), pa.array([a != b for a, b in zip(new, lines, strict=True)])], [*batch.schema.names, "reflowed", "changed"])
